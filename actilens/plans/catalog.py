@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from actilens.plans import scan_queries, text_queries  # noqa: F401
+from actilens.plans import rule_queries, scan_queries, sequence_queries, text_queries  # noqa: F401
 from actilens.plans.registry import oracles, spark_queries
 
 __all__ = ["oracles", "spark_queries"]
