@@ -30,7 +30,7 @@ def limiter_sql(source: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     sk = ", ".join(f"s.{c}" for c in keys)
     on = " and ".join(f"s.{c} = p.{c}" for c in keys)
-    live = "list_filter(p.adm, lambda x: x > s.us - s.win * 1000000)"
+    live = "list_filter(p.adm, lambda x: x > s.us - cast(s.win as bigint) * 1000000)"
     return f"""with recursive
 numbered as (select *, epoch_us(ts) as us, row_number() over (partition by {k} order by ts, id) as rn from ({source})),
 walk as (
