@@ -266,3 +266,22 @@ class Tables:
             F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 100 + F.col("turn")).alias("ts"),
             F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), "role", F.lit(" "))).otherwise(F.col("text")).alias("content"),
         )
+
+
+class StreamTables(Tables):
+    """The same views with some raw tables read as streams; the others stay static."""
+
+    def __init__(self, spark: SparkSession, folder: str, streamed: tuple[str, ...], files_per_trigger: int | None = None):
+        super().__init__(spark, folder)
+        self.streamed = streamed
+        self.files_per_trigger = files_per_trigger
+
+    def raw(self, name: str) -> DataFrame:
+        if name not in self.streamed:
+            return super().raw(name)
+        # A pattern instead of a plain path: the table may be one file or a folder of files.
+        path = f"{self.folder}/{name}[.]parquet"
+        reader = self.spark.readStream.schema(super().raw(name).schema)
+        if self.files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
+        return reader.parquet(path)
