@@ -2,6 +2,7 @@
 
 from actilens.plans import (  # noqa: F401
     model_queries, rule_queries, scan_queries, sequence_queries, stream_queries, text_queries,
+    training_queries,
 )
 from actilens.plans.registry import oracles, spark_queries
 
