@@ -86,8 +86,7 @@ def key_name(raw: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of whitespace-separated words, 0 for null or blank text."""
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(body == "", 0).otherwise(F.size(F.split(body, " ")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\\S+"))
 
 
 def alert_text(level: Column, activity: Column, description: Column) -> Column:

@@ -83,7 +83,11 @@ class FittedFeatures:
     as_of: str
 
     def transform(self, logs: DataFrame) -> DataFrame:
-        out = scale(raw_features(logs, self.as_of), self.scaler)
+        return self.transform_raw(raw_features(logs, self.as_of))
+
+    def transform_raw(self, raw: DataFrame) -> DataFrame:
+        """The same for rows that already went through :func:`raw_features`."""
+        out = scale(raw, self.scaler)
         for output, column in ENCODED.items():
             out = encode(out, self.encoders[column], column, output)
         return out
@@ -112,9 +116,14 @@ class FittedFeatures:
 
 
 def fit_features(logs: DataFrame, as_of: str) -> FittedFeatures:
-    base = logs if "description" in logs.columns else logs.withColumn("description", F.lit(""))
-    encoders = {column: fit_encoder(base, column) for column in ENCODED.values()}
-    return FittedFeatures(encoders, fit_scaler(raw_features(base, as_of)), as_of)
+    return fit_raw(raw_features(logs, as_of), as_of)
+
+
+def fit_raw(raw: DataFrame, as_of: str) -> FittedFeatures:
+    """Fit on rows with raw features. Store that narrow frame first when the texts are long: it is
+    read once per encoder, once for the scaler and once more for the transformation."""
+    encoders = {column: fit_encoder(raw, column) for column in ENCODED.values()}
+    return FittedFeatures(encoders, fit_scaler(raw), as_of)
 
 
 def legacy_features(logs: DataFrame, as_of: str) -> DataFrame:

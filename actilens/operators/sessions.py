@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actilens.functions.text import key_name
@@ -24,7 +24,11 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
     The newer shape has ``key_counts``; the older one is just a map of counts. What cannot be read
     stays null: a bad duration also hides keystrokes and app, a bad old-shape value hides all.
     """
-    doc = F.from_json(F.col(column), COUNTS)
+    # Malformed text can parse to an empty map, so the text is also checked to be JSON. The pair goes
+    # through a one-row explode: later filters then cannot copy the parsing into their conditions.
+    parsed = F.struct(
+        F.from_json(F.col(column), COUNTS).alias("doc"), F.get_json_object(F.col(column), "$").isNotNull().alias("valid")
+    )
     has = lambda name: F.map_contains_key(F.col("_doc"), name)
     item = lambda name: F.col("_doc")[name]
     number = lambda name: F.when(has(name), item(name).try_cast("double")).otherwise(0.0)
@@ -32,10 +36,10 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
     values = F.transform(F.map_values("_doc"), lambda v: v.try_cast("double"))
     readable = F.forall(values, lambda v: v.isNotNull())
     typed = lambda m: F.transform_values(m, lambda _, v: F.coalesce(_whole(v), F.lit(0).cast("long")))
-    # Malformed text parses to an empty or partly filled map in permissive mode; keep real objects only.
-    usable = F.col("_doc").isNotNull() & F.get_json_object(F.col(column), "$").isNotNull()
+    usable = F.col("_doc").isNotNull() & F.col("_valid")
     return (
-        logs.withColumn("_doc", doc)
+        logs.select("*", F.explode(F.array(parsed)).alias("_j"))
+        .withColumns({"_doc": F.col("_j.doc"), "_valid": F.col("_j.valid")})
         .withColumn("shape", F.when(usable & has("key_counts"), "new").when(usable, "old"))
         .withColumn("_duration", F.when(newer, number("duration_seconds")))
         .withColumn("_total", F.when(newer & F.col("_duration").isNotNull(), F.floor(number("total_keystrokes")).cast("long")))
@@ -51,7 +55,7 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
                 "key_counts": F.when(newer, typed(F.from_json(item("key_counts"), COUNTS))).when(older & readable, typed(F.col("_doc"))),
             }
         )
-        .drop("_doc", "_duration", "_total")
+        .drop("_j", "_doc", "_valid", "_duration", "_total")
     )
 
 
@@ -69,10 +73,12 @@ def session_totals(sessions: DataFrame) -> DataFrame:
 
 def top_apps(sessions: DataFrame, n: int = 5) -> DataFrame:
     """Most used apps by sessions; 'Unknown' shows only when nothing else is known."""
-    counts = sessions.filter(F.col("app").isNotNull()).groupBy("app").agg(F.count("*").alias("n"))
-    known = sessions.agg(F.count_if(F.col("app") != UNKNOWN)).scalar()
-    shown = counts.filter((F.col("app") != UNKNOWN) | (known == 0))
-    return shown.orderBy(F.desc("n"), F.asc("app")).limit(n)
+    counts = sessions.groupBy("app").agg(F.count("app").alias("n")).filter(F.col("n") > 0)
+    known = F.col("app") != UNKNOWN
+    # Known apps sort first, so if there is one at all it is among the rows kept.
+    kept = counts.orderBy(F.desc(known), F.desc("n"), F.asc("app")).limit(n)
+    any_known = F.max(known).over(Window.partitionBy(F.lit(0)))
+    return kept.withColumn("_k", any_known).filter(known | ~F.col("_k")).drop("_k").orderBy(F.desc("n"), F.asc("app"))
 
 
 def key_totals(sessions: DataFrame) -> DataFrame:

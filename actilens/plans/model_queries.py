@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from actilens.functions import vectors
 from actilens.operators import features, federated, metrics
 from actilens.plans.registry import query
+from actilens.session import cut_lineage
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -133,7 +134,10 @@ SCALED_SQL = ", ".join(
 @query("m01_feature_frame", f"""with raw as materialized ({RAW_SQL})
 select id, {SCALED_SQL}, dense_rank() over (order by user_name) - 1 as user_encoded, dense_rank() over (order by activity_type) - 1 as activity_type_encoded from raw""")
 def _(t):
-    out = features.fit_features(t.logs, AS_OF).transform(t.logs)
+    raw = cut_lineage(
+        features.raw_features(t.logs, AS_OF).select("id", "user_name", "activity_type", *features.SCALED)
+    )
+    out = features.fit_raw(raw, AS_OF).transform_raw(raw)
     return out.select("id", *[F.round(c, 6).alias(c) for c in features.SCALED], *features.ENCODED)
 
 

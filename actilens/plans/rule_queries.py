@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from actilens.operators import markov, rules
 from actilens.plans.registry import query
+from actilens.session import cut_lineage
 
 FIELD_SQL = """case p.trigger_field when 'riskLevel' then l.risk_level when 'activityType' then l.activity_type when 'description' then l.description
   when 'llmRiskLevel' then coalesce(json_extract_string(l.activity_summary, '$.risk_level'), '') end"""
@@ -132,17 +133,22 @@ def _(t):
     return rules.audit(t.logs, t.playbooks)
 
 
+def _stored_audit(t):
+    """The audit as the stored table that the later steps read."""
+    return cut_lineage(rules.audit(t.logs, t.playbooks))
+
+
 @query("o04_user_status", f"""{AUDIT_SQL},
 last as (select user_name, arg_max(case action_type when 'LOCK_USER' then 'LOCKED' else 'QUARANTINED' end, (epoch_us(ts), id, playbook_id)) as s
   from audited where status = 'executed' and action_type in ('LOCK_USER', 'QUARANTINE_USER') group by user_name)
 select u.id, u.user_name, u.role, u.clearance_level, coalesce(l.s, u.status) as status from users u left join last l on l.user_name = u.user_name""")
 def _(t):
-    return rules.updated_users(rules.audit(t.logs, t.playbooks), t.users)
+    return rules.updated_users(_stored_audit(t), t.users)
 
 
 @query("w11_status_changes", f"{AUDIT_SQL}, {CHANGES_SQL} select user_name, ts, id as source_log_id, playbook_id, before, new_status from changes where before <> new_status")
 def _(t):
-    return rules.status_changes(rules.audit(t.logs, t.playbooks), t.users).select(
+    return rules.status_changes(_stored_audit(t), t.users).select(
         "user_name", "ts", "source_log_id", "playbook_id", "before", "new_status"
     )
 
@@ -156,7 +162,7 @@ select sha256('alert|' || a.playbook_id || '|' || a.id), a.ts, 'HIGH_PRIORITY_AL
   'Triggered by activity from ' || a.user_name || ': ' || l.description, 'SOAR_ENGINE', 'Internal'
 from audited a join logs l on l.id = a.id where a.status = 'executed' and a.action_type = 'ALERT_ADMIN'""")
 def _(t):
-    return rules.system_events(rules.audit(t.logs, t.playbooks), t.users, t.logs)
+    return rules.system_events(_stored_audit(t), t.users, t.logs)
 
 
 @query("o06_unknown_actions", f"{AUDIT_SQL} select id as source_log_id, playbook_id, target from audited where status = 'executed' and action_type not in ('LOCK_USER', 'QUARANTINE_USER', 'ALERT_ADMIN')")

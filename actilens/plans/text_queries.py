@@ -28,7 +28,7 @@ def _any(column: str, terms: list[str]) -> str:
 
 @query("h01_contains_any", f"select doc_id, {_any('lower(text)', ['token', 'password', 'the'])} as hit from documents")
 def _(t):
-    return t.raw("documents").select("doc_id", text.contains_any(F.lower("text"), ["token", "password", "the"]).alias("hit"))
+    return t.documents.select("doc_id", text.contains_any(F.lower("text"), ["token", "password", "the"]).alias("hit"))
 
 
 @query("h02_upper_match", "select id, upper(lower(activity_type)) = upper('error') as eq, contains(upper(user_name), upper('u1')) as inside from logs_core")
@@ -41,13 +41,13 @@ def _(t):
 
 @query("h04_truncate", "select doc_id, case when length(text) > 1500 then substring(text, 1, 1497) || '...' else text end as short from documents")
 def _(t):
-    return t.raw("documents").select("doc_id", text.truncate(F.col("text")).alias("short"))
+    return t.documents.select("doc_id", text.truncate(F.col("text")).alias("short"))
 
 
 @query("h05_control_characters", r"""
 select doc_id, regexp_replace(text || chr(7) || chr(9) || chr(31) || 'x', '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') as clean from documents""")
 def _(t):
-    return t.raw("documents").select("doc_id", text.drop_control(F.concat("text", F.lit("\x07\t\x1fx"))).alias("clean"))
+    return t.documents.select("doc_id", text.drop_control(F.concat("text", F.lit("\x07\t\x1fx"))).alias("clean"))
 
 
 def _nested_replace(column: str) -> str:
@@ -73,7 +73,7 @@ def _(t):
         .when(d % 3 == 1, body)
         .otherwise(F.concat(F.lit(" Act As "), body))
     )
-    return t.raw("documents").select("doc_id", text.sanitize(marked).alias("safe"))
+    return t.documents.select("doc_id", text.sanitize(marked).alias("safe"))
 
 
 LINES_SQL = f"""
@@ -87,7 +87,7 @@ select doc_id, unnest(string_split(text, chr(10))) as c, generate_subscripts(str
 def _(t):
     lines = F.transform(F.split("text", "\n"), lambda x: F.create_map(F.lit("line"), x))
     kept = text.sanitize_items(lines, 10)
-    return t.raw("documents").select("doc_id", F.array_join(F.transform(kept, lambda m: m["line"]), "|").alias("items"))
+    return t.documents.select("doc_id", F.array_join(F.transform(kept, lambda m: m["line"]), "|").alias("items"))
 
 
 @query("h07_normalize_actions", """
@@ -158,7 +158,7 @@ TOKENS_SQL = r"case when trim(regexp_replace({c}, '[ \t\n\r\f\v]+', ' ', 'g')) =
 
 @query("h13_text_size", f"select doc_id, length(text) as n_chars, {TOKENS_SQL.format(c='text')} as n_tokens from documents")
 def _(t):
-    return t.raw("documents").select("doc_id", F.length("text").alias("n_chars"), text.token_count(F.col("text")).alias("n_tokens"))
+    return t.documents.select("doc_id", F.length("text").alias("n_chars"), text.token_count(F.col("text")).alias("n_tokens"))
 
 
 @query("h14_quiet_hours", """
@@ -183,7 +183,7 @@ def _(t):
 
 @query("h26_hash", "select doc_id, '[HASH:' || substring(sha256(text), 1, 8) || ']' as h from documents")
 def _(t):
-    return t.raw("documents").select("doc_id", pii.short_hash(F.col("text")).alias("h"))
+    return t.documents.select("doc_id", pii.short_hash(F.col("text")).alias("h"))
 
 
 @query("h28_key_names", """
@@ -269,13 +269,13 @@ DETECT_SQL = _detect_sql("documents", "doc_id", "text")
 
 @query("p01_detect", f"select doc_id, pii_type, original from ({DETECT_SQL})")
 def _(t):
-    docs = t.raw("documents").withColumnRenamed("text", "content")
+    docs = t.documents.withColumnRenamed("text", "content")
     return pii.detect(docs, "content", ["doc_id"]).select("doc_id", "pii_type", "original")
 
 
 @query("p03_redacted_values", f"select doc_id, pii_type, redacted from ({DETECT_SQL})")
 def _(t):
-    docs = t.raw("documents").withColumnRenamed("text", "content")
+    docs = t.documents.withColumnRenamed("text", "content")
     return pii.detect(docs, "content", ["doc_id"]).select("doc_id", "pii_type", "redacted")
 
 
@@ -286,7 +286,7 @@ select d.doc_id, case when f.ds is null then d.text
   else list_reduce(f.ds, lambda a, x: {{'t': replace(a.t, x.o, x.r), 'o': '', 'r': ''}}, {{'t': d.text, 'o': '', 'r': ''}}).t end as content
 from documents d left join folded f on f.doc_id = d.doc_id""")
 def _(t):
-    docs = t.raw("documents").select("doc_id", F.col("text").alias("content"))
+    docs = t.documents.select("doc_id", F.col("text").alias("content"))
     return pii.redact_rows(docs).select("doc_id", "content")
 
 
@@ -295,7 +295,7 @@ with found as ({DETECT_SQL})
 select d.doc_id, count(f.doc_id) > 0 as redacted, count(f.doc_id) as n, coalesce(string_agg(distinct pii_type, ',' order by pii_type), '') as types
 from documents d left join found f on f.doc_id = d.doc_id group by d.doc_id""")
 def _(t):
-    docs = t.raw("documents").select("doc_id", F.col("text").alias("content"))
+    docs = t.documents.select("doc_id", F.col("text").alias("content"))
     return pii.redact_rows(docs).select(
         "doc_id", F.col("_pii_redacted").alias("redacted"), F.col("_pii_count").cast("long").alias("n"),
         F.array_join("_pii_types", ",").alias("types"),
@@ -305,7 +305,7 @@ def _(t):
 @query("p08_profile", f"""
 with found as ({DETECT_SQL}) select d.source, f.pii_type, count(*) as n from found f join documents d on d.doc_id = f.doc_id group by 1, 2""")
 def _(t):
-    docs = t.raw("documents").withColumnRenamed("text", "content")
+    docs = t.documents.withColumnRenamed("text", "content")
     return pii.detect(docs, "content", ["source"]).groupBy("source", "pii_type").agg(F.count("*").alias("n"))
 
 
@@ -374,7 +374,7 @@ def _(t):
 select doc_id, cluster, string_agg(distinct keyword, ',' order by keyword) as hits from documents join keyword_clusters on contains(lower(text), lower(keyword))
 group by doc_id, cluster""")
 def _(t):
-    m = keywords.match_clusters(t.raw("documents"), t.keyword_clusters, "text", ["doc_id"])
+    m = keywords.match_clusters(t.documents, t.keyword_clusters, "text", ["doc_id"])
     return m.select("doc_id", "cluster", F.array_join("hits", ",").alias("hits"))
 
 
@@ -389,7 +389,7 @@ DEFAULTS = _values((c, k) for c, ks in keywords.DEFAULT_CLUSTERS.items() for k i
 select page_id, cluster, string_agg(distinct keyword, ',' order by keyword) as hits from pages
 join (values {DEFAULTS}) as d(cluster, keyword) on contains(lower(html), keyword) group by page_id, cluster""")
 def _(t):
-    m = keywords.match_clusters(t.raw("pages"), keywords.default_clusters(t.spark), "html", ["page_id"])
+    m = keywords.match_clusters(t.pages, keywords.default_clusters(t.spark), "html", ["page_id"])
     return m.select("page_id", "cluster", F.array_join("hits", ",").alias("hits"))
 
 
@@ -399,7 +399,7 @@ TERMS_SQL = f"""select lower(unnest(regexp_extract_all(x, {_sql_text(keywords.CO
 
 
 def _posts(t):
-    docs = t.raw("documents").select(F.lit(None).cast("string").alias("title"), F.lit("").alias("html"), F.col("text").alias("plaintext"))
+    docs = t.documents.select(F.lit(None).cast("string").alias("title"), F.lit("").alias("html"), F.col("text").alias("plaintext"))
     return t.posts.select("title", "html", F.lit("").alias("plaintext")).unionByName(docs)
 
 

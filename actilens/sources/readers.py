@@ -37,3 +37,12 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, schema: T.Struct
         .options(**options).load()
     )
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain scan of few large splits enough tasks for heavy work per row.
+
+    Tables with as many splits as there are cores, the normal case on a cluster, pass unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actilens.sources.readers import spread
+
 PLAYBOOK_SCHEMA = (
     "id string, name string, is_active boolean, trigger_field string, trigger_operator string, "
     "trigger_value string, action_type string, action_target string, min_confidence double, "
@@ -45,6 +47,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts, split finely enough for per-row text work."""
+        table = self.raw(name)
+        return table if table.isStreaming else spread(table)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self.texts("documents")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self.texts("pages")
+
     @cached_property
     def events(self) -> DataFrame:
         return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -77,8 +92,8 @@ class Tables:
     @cached_property
     def logs(self) -> DataFrame:
         """Logs with the whole document text as description; all documents are used in turn."""
-        docs = self.raw("documents").select("doc_id", F.col("text").alias("description"))
-        n_docs = docs.agg(F.count("*")).scalar()
+        docs = self.documents.select("doc_id", F.col("text").alias("description"))
+        n_docs = self.raw("documents").agg(F.count("*")).scalar()
         return (
             self.logs_core.withColumn("doc_id", F.col("event_id") % n_docs)
             .join(docs, "doc_id")
@@ -148,7 +163,7 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.raw("pages").select(
+        return self.pages.select(
             "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "html"
         )
 

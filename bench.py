@@ -9,7 +9,7 @@ import time
 
 from actilens.models.autoencoder import AutoEncoder
 from actilens.models.isolation_forest import IsolationForest
-from actilens.operators.features import FEATURES, fit_features
+from actilens.operators.features import FEATURES, SCALED, fit_raw, raw_features
 from actilens.plans.catalog import spark_queries
 from actilens.session import build_session
 from actilens.sources.views import Tables
@@ -22,6 +22,7 @@ HEADLINE = [
     "p08_profile", "u01_network_findings", "w02_predictions", "w03_rate_limit", "w04_counter_rates", "w05_allocated_bytes",
     "w08_device_changes", "w10_inactivity", "t04_minute_series",
 ]
+AS_OF = "2024-02-01 00:00:00"
 
 
 def timed(action) -> float:
@@ -50,7 +51,8 @@ def main() -> None:
     rates: dict[str, float] = {}
     if not sys.argv[1:]:
         t = Tables(spark, folder)
-        frame = fit_features(t.logs, "2024-02-01 00:00:00").transform(t.logs).select("id", *FEATURES).persist()
+        raw = raw_features(t.logs, AS_OF).select("id", "user_name", "activity_type", *SCALED).persist()
+        frame = fit_raw(raw, AS_OF).transform_raw(raw).select("id", *FEATURES).persist()
         n = frame.count()
         forest = IsolationForest.fit(frame, FEATURES)
         coder = AutoEncoder.fit(frame, FEATURES, epochs=2)
