@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from actilens.functions.text import strip
 from actilens.scale import time_chunk, with_neighbour
 
-DAY = 86_400
+HOUR, DAY = 3_600, 86_400
 
 
 def metric_logs(metrics: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def metric_logs(metrics: DataFrame) -> DataFrame:
     )
 
 
-def clipboard_changes(readings: DataFrame, keys: Sequence[str] = ("user_name",), chunk_seconds: int = DAY) -> DataFrame:
+def clipboard_changes(readings: DataFrame, keys: Sequence[str] = ("user_name",), chunk_seconds: int = HOUR) -> DataFrame:
     """Readings whose trimmed text differs from the previous one; only length and hash are kept."""
     body = strip(F.col("content"))
     hashed = readings.select(
@@ -38,7 +38,7 @@ def clipboard_changes(readings: DataFrame, keys: Sequence[str] = ("user_name",),
 
 
 def device_changes(
-    snapshots: DataFrame, kind: str = "USB", keys: Sequence[str] = ("host",), chunk_seconds: int = 30 * DAY
+    snapshots: DataFrame, kind: str = "USB", keys: Sequence[str] = ("host",), chunk_seconds: int = DAY
 ) -> DataFrame:
     """Added and removed devices against the previous snapshot; the first one compares with none."""
     chained = with_neighbour(
@@ -70,7 +70,7 @@ def inactivity(
     limit = limit_minutes * 60
     warning = max(limit - 300, 0)
     following = with_neighbour(
-        inputs, keys, ["ts", "id"], ["ts"], chunk if chunk is not None else time_chunk("ts", DAY), True, "nxt"
+        inputs, keys, ["ts", "id"], ["ts"], chunk if chunk is not None else time_chunk("ts", HOUR), True, "nxt"
     )
     gap = (F.unix_micros("nxt.ts") - F.unix_micros("ts")) / 1_000_000
     out = following.withColumn("gap_seconds", gap).drop("nxt")

@@ -81,7 +81,7 @@ def counter_rates(
     cycle: Column,
     interface: str | None = None,
     include_loopback: bool = False,
-    chunk_seconds: int = 86_400,
+    chunk_seconds: int = 3_600,
 ) -> DataFrame:
     """Bytes per cycle from cumulative interface counters; resets count as zero."""
     kept = counters

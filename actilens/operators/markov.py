@@ -9,10 +9,10 @@ from actilens.functions.risk import is_severe
 from actilens.scale import broadcast_if_small, time_chunk, with_neighbour
 
 REASON = "Based on historical frequency"
-DAY = 86_400
+HOUR = 3_600
 
 
-def next_activities(logs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def next_activities(logs: DataFrame, chunk_seconds: int = HOUR) -> DataFrame:
     """Each activity with the user's next one; rows without an activity are dropped first."""
     steps = logs.filter(F.col("activity_type").isNotNull() & (F.col("activity_type") != "")).select(
         "user_name", "ts", "id", "activity_type"
@@ -23,7 +23,7 @@ def next_activities(logs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     return chained.withColumn("next_activity", F.col("nxt.activity_type")).drop("nxt")
 
 
-def transitions(logs: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def transitions(logs: DataFrame, chunk_seconds: int = HOUR) -> DataFrame:
     """Counts of (current, next) activity pairs over all users."""
     return (
         next_activities(logs, chunk_seconds)

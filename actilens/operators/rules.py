@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from actilens.functions.casts import or_default
 from actilens.functions.timefns import iso_text
 from actilens.scale import broadcast_if_small, time_chunk, with_neighbour
+from actilens.session import cut_lineage
 
 # Confidence that overrides approval, internal locations, statuses per action.
 AUTO_APPROVE = 0.98
@@ -23,7 +24,7 @@ ENGINE_USER = "SOAR_ENGINE"
 
 MAX_LITERAL_RULES = 200
 SLICE_RULES = 5_000
-DAY = 86_400
+HOUR = 3_600
 
 RULE_COLUMNS = {
     "id": "playbook_id", "name": "playbook_name", "action_type": "action_type", "action_target": "action_target",
@@ -253,8 +254,12 @@ def rate_limit(
 
 
 def audit(logs: DataFrame, playbooks: DataFrame) -> DataFrame:
-    """One row per matched pair with its final status; executed rows are those the limiter admits."""
-    pairs = guarded_pairs(logs, playbooks)
+    """One row per matched pair with its final status; executed rows are those the limiter admits.
+
+    The matched pairs, a narrow table without texts, are stored first: the three steps that follow
+    would otherwise scan and match the logs once each.
+    """
+    pairs = cut_lineage(guarded_pairs(logs, playbooks))
     settled = pairs.filter(F.col("status").isNotNull())
     open_ = pairs.filter(F.col("status").isNull()).withColumn("_t", or_default(F.col("target"), "-"))
     limited = rate_limit(
@@ -293,7 +298,7 @@ def status_changes(audited: DataFrame, users: DataFrame) -> DataFrame:
         users.select("user_name", F.col("status").alias("old_status")), "user_name"
     )
     chained = with_neighbour(
-        known, ["user_name"], ["ts", "source_log_id", "playbook_id"], ["new_status"], time_chunk("ts", DAY), False, "prev"
+        known, ["user_name"], ["ts", "source_log_id", "playbook_id"], ["new_status"], time_chunk("ts", HOUR), False, "prev"
     )
     before = F.coalesce("prev.new_status", "old_status")
     return chained.filter(~before.eqNullSafe(F.col("new_status"))).withColumn("before", before).drop("prev", "old_status")

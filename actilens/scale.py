@@ -25,7 +25,7 @@ def time_chunk(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def range_bucket(df: DataFrame, value: str, n: int = 64, name: str = "_bucket") -> DataFrame:
+def range_bucket(df: DataFrame, value: str, n: int = 256, name: str = "_bucket") -> DataFrame:
     """Add an order-preserving bucket number computed from about ``n`` split values.
 
     The splits are one pseudo-random distinct value per hash class: at most ``n`` values however
@@ -43,7 +43,7 @@ def range_bucket(df: DataFrame, value: str, n: int = 64, name: str = "_bucket")
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], n: int = 64, descending: bool = False
+    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], n: int = 256, descending: bool = False
 ) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` over ``order`` within ``keys``.
 

@@ -143,7 +143,8 @@ class Tables:
         """KEYLOG rows with both summary shapes, blank apps and malformed JSON."""
         eid = F.col("event_id")
         k = F.regexp_extract("props", "([0-9]+)", 1)
-        return self.events.select(
+        events = self.texts("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        return events.select(
             _s("event_id").alias("id"),
             "ts",
             F.concat(F.lit("u"), _s("user_id")).alias("user_name"),
@@ -286,7 +287,7 @@ class Tables:
 class StreamTables(Tables):
     """The same views with some raw tables read as streams; the others stay static."""
 
-    def __init__(self, spark: SparkSession, folder: str, streamed: tuple[str, ...], files_per_trigger: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, streamed: tuple[str, ...], files_per_trigger: int | None = 32):
         super().__init__(spark, folder)
         self.streamed = streamed
         self.files_per_trigger = files_per_trigger
