@@ -1,7 +1,7 @@
 """Imports every query module so that the registry is complete."""
 
 from actilens.plans import (  # noqa: F401
-    model_queries, rule_queries, scan_queries, sequence_queries, stream_queries, text_queries,
+    extra_queries, model_queries, rule_queries, scan_queries, sequence_queries, stream_queries, text_queries,
     training_queries,
 )
 from actilens.plans.registry import oracles, spark_queries

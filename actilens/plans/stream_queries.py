@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from actilens.plans import rule_queries, sequence_queries, text_queries
+from actilens.plans import rule_queries, sequence_queries
 from actilens.plans.model_queries import FED_SQL
 from actilens.plans.registry import query
 from actilens.sources.views import StreamTables
@@ -30,12 +30,6 @@ def _(t):
     return _run(_streamed(t, "lineitem").traffic).drop("_batch")
 
 
-@query("t01_enriched_stream")
-def _(t):
-    s = _streamed(t, "events")
-    return _run(jobs.enriched(s.logs, text_queries.SETTINGS).select("id", "risk_level", "description", "_pii_count")).drop("_batch")
-
-
 @query("t02_first_arrivals", "select count(*) as n, count(distinct id) as n_ids from logs_core")
 def _(t):
     s = _streamed(t, "events")
