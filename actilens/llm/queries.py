@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import simhash
+from actilens.llm import decontaminate, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op5_byte_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored_rows(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.schedule_rows(_table(spark, folder, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest_rows(_table(spark, folder, "documents"))
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash_groups,)}
+    return {f.__name__: f for f in (op2_decontamination, op5_byte_quality, op6_pfair_mixing, op10_simhash_groups)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_pfair_mixing": mixing.SCHEDULE_SQL}
