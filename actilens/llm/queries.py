@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import decontaminate, mixing, quality, simhash
+from actilens.llm import decontaminate, mixing, quality, simhash, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.written_rows(_table(spark, folder, "documents"))
+
+
 def op5_byte_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored_rows(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -30,7 +34,7 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op5_byte_quality, op6_pfair_mixing, op10_simhash_groups)}
+    return {f.__name__: f for f in (op2_decontamination, op3_token_files, op5_byte_quality, op6_pfair_mixing, op10_simhash_groups)}
 
 
 def oracles() -> dict[str, str]:

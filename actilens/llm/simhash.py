@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from actilens.llm.common import partitions, steps, stored
 from actilens.llm.components import components
@@ -166,15 +167,45 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` (the smallest id reachable over links of at most ``most`` bits) for each row."""
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+def _named(rows: DataFrame, most: int) -> DataFrame:
+    """``fp``, ``component_id`` and the group's ``chosen`` (struct of a fingerprint and its lowest id) for the distinct
+    fingerprints of ``rows``."""
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
     roots = components(links(fps.select("fp"), most)).withColumnRenamed("node", "fp")
     labelled = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(labelled.join(lowest, "root").select("fp", "component_id"), "simhash-names")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.isnull("low").alias("none"), F.col("low").alias("id"), "fp"))
+    groups = labelled.groupBy("root").agg(F.min("low").alias("component_id"), first.alias("chosen"))
+    return stored(labelled.join(groups, "root").select("fp", "component_id", "chosen"), "simhash-names")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` (the smallest id reachable over links of at most ``most`` bits) for each row."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    return rows.join(_named(rows, most).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: of the lowest id (a null id is the highest), and of several
+    such rows the one with the lowest hash. All columns as they are.
+
+    Rows are stored with their fingerprint, so texts are hashed once; rows that repeat an id and a fingerprint become one
+    in the map tasks, and the rest meets the choices of the groups by both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("row").field(text_col).to_pylist()
+            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(found)], ["row", "doc_id", "fp"])
+
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])
+    rows = stored(packed.mapInArrow(run, schema), "simhash-rows")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    names = _named(rows.select("doc_id", "fp"), most)
+    chosen = names.where("fp = chosen.fp").select("fp", key("chosen.id").alias("key"))
+    single = rows.groupBy("fp", key("doc_id").alias("key")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.join(chosen, ["fp", "key"]).select("row.*")
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
