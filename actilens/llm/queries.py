@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import decontaminate, mixing, quality, simhash, token_files
+from actilens.llm import decontaminate, minhash, mixing, quality, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edited_rows(_table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -29,12 +33,20 @@ def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule_rows(_table(spark, folder, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted_rows(_table(spark, folder, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest_rows(_table(spark, folder, "documents"))
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_token_files, op5_byte_quality, op6_pfair_mixing, op10_simhash_groups)}
+    made = (
+        op1_minhash_fingerprints, op2_decontamination, op3_token_files, op5_byte_quality, op6_pfair_mixing, op7_token_counts,
+        op10_simhash_groups,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracles() -> dict[str, str]:
