@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import decontaminate, minhash, mixing, quality, simhash, token_counts, token_files
+from actilens.llm import decontaminate, language, minhash, mixing, quality, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.written_rows(_table(spark, folder, "documents"))
 
 
+def op4_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted_rows(_table(spark, folder, "documents"))
+
+
 def op5_byte_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored_rows(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -43,7 +47,7 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        op1_minhash_fingerprints, op2_decontamination, op3_token_files, op5_byte_quality, op6_pfair_mixing, op7_token_counts,
+        op1_minhash_fingerprints, op2_decontamination, op3_token_files, op4_language_codes, op5_byte_quality, op6_pfair_mixing, op7_token_counts,
         op10_simhash_groups,
     )
     return {f.__name__: f for f in made}
