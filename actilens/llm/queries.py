@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import decontaminate, duplicate_spans, language, minhash, mixing, quality, simhash, token_counts, token_files
+from actilens.llm import (
+    decontaminate, duplicate_spans, language, lm_scores, minhash, mixing, quality, simhash, token_counts, token_files,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +43,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted_rows(_table(spark, folder, "documents"))
 
 
+def op8_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores.scored_rows(_table(spark, folder, "documents"))
+
+
 def op9_duplicate_spans(spark: SparkSession, folder: str) -> DataFrame:
     return duplicate_spans.digest_rows(_table(spark, folder, "documents"))
 
@@ -52,7 +58,7 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_minhash_fingerprints, op2_decontamination, op3_token_files, op4_language_codes, op5_byte_quality, op6_pfair_mixing, op7_token_counts,
-        op9_duplicate_spans, op10_simhash_groups,
+        op8_backoff_scores, op9_duplicate_spans, op10_simhash_groups,
     )
     return {f.__name__: f for f in made}
 
