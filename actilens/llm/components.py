@@ -25,7 +25,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (the lowest node reachable) for each node in an edge (a, b), a != b.
+    """``node``, ``root`` (the lowest node reachable) for each node in an edge (a, b), a != b, that is not its own root.
 
     Large-star links the higher neighbours of a node to its lowest neighbour, small-star the lower ones; the table of
     edges becomes a forest of stars after a number of rounds that grows with the logarithm of the longest path. Minima

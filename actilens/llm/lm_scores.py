@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actilens.llm.common import mix, partitions, ranges, stored
-from actilens.llm.token_files import _ids, encoded, public_tokenizer, token_counts
+from actilens.llm.token_files import batch_ids, encoded, public_tokenizer, token_counts
+from actilens.llm.tokenizing import id_type
 
 PRUNED, BACKOFF = 2, 0.4
 HOT = 1024
@@ -68,7 +69,7 @@ def _pairs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return place, doc[place], first
 
 
-def hot_pairs(rows: DataFrame, unigrams: Unigrams) -> np.ndarray:
+def hot_pairs(rows: DataFrame, unigrams: Unigrams, kind: str) -> np.ndarray:
     """Counts of all pairs of frequent tokens, as a square table."""
     n = len(unigrams.frequent)
     if not n:
@@ -77,7 +78,7 @@ def hot_pairs(rows: DataFrame, unigrams: Unigrams) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n * n, np.int64)
         for batch in batches:
-            ids, starts = _ids(batch.column("ids"))
+            ids, starts = batch_ids(batch.column("ids"), kind)
             place, _, _ = _pairs(ids, starts)
             a, b = unigrams.number[ids[place - 1]], unigrams.number[ids[place]]
             both = (a >= 0) & (b >= 0)
@@ -91,11 +92,11 @@ def hot_pairs(rows: DataFrame, unigrams: Unigrams) -> np.ndarray:
     return table.reshape(n, n)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _stretches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += batch.column("ids").nbytes // 4
+        size += batch.column("ids").nbytes // np.dtype(kind).itemsize
         if size >= STRETCH:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
@@ -103,15 +104,15 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int):
+def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
     """What a task sends: one row with the documents of a stretch and what is known of them, and the pairs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PACKED.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        for number, table in enumerate(_stretches(batches)):
+        for number, table in enumerate(_stretches(batches, kind)):
             stretch = (TaskContext.get().partitionId() << 24) + number
-            ids, starts = _ids(table.column("ids").chunk(0))
+            ids, starts = batch_ids(table.column("ids").chunk(0), kind)
             ids = ids.astype(np.int64)
             place, doc, first = _pairs(ids, starts)
             known = np.zeros(len(starts) - 1)
@@ -222,12 +223,13 @@ def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(encoded(narrow, [], tokenizer, None).select("doc_id", "ids"), "lm-ids")
-    counts = token_counts(rows)
+    kind = id_type(tokenizer)
+    counts = token_counts(rows, kind)
     dense = np.zeros(max(counts, default=-1) + 1, np.int64)
     dense[list(counts)] = list(counts.values())
     unigrams = Unigrams(dense)
     buckets = partitions(spark)
-    sent = rows.mapInArrow(_sent(unigrams, hot_pairs(rows, unigrams), buckets), PACKED)
+    sent = rows.mapInArrow(_sent(unigrams, hot_pairs(rows, unigrams, kind), buckets, kind), PACKED)
     target = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     counted = sent.repartitionById(buckets, target).sortWithinPartitions("bucket", "stretch").mapInArrow(_bucket_sums(unigrams), SUMS)
     totals = counted.repartition(buckets, "stretch").sortWithinPartitions("stretch", "kind").mapInArrow(_totals, SCORE)

@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 
 SCALE = 20
-LANES = 512
+LANES = 1024
 CHECK_STEPS = 128
 MAGIC, VERSION = b"RTOK", 1
 HEAD = "<4sIIIQQII8x"

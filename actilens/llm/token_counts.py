@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actilens.llm.common import partitions, steps, work_path
-from actilens.llm.token_files import public_tokenizer
+from actilens.llm.token_files import ENCODE_BYTES, public_tokenizer
 from actilens.llm.tokenizing import piece_counts
 
 LIMIT = 4096
@@ -58,14 +58,13 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen = piece_counts(path), set()
-        for batch in steps(batches):
-            contents, counts = [], []
-            for content, text in zip(batch.column("content").to_pylist(), batch.column("text").to_pylist()):
-                if content not in seen:
-                    seen.add(content)
-                    contents.append(content)
-                    counts.append(counter.count(text))
-            yield pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+        for batch in steps(batches, limit=ENCODE_BYTES):
+            fresh = []
+            for content in batch.column("content").to_pylist():
+                fresh.append(content not in seen)
+                seen.add(content)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counter.counts(batch.column("text")))], ["content", "n_tokens"])
 
     return run
 

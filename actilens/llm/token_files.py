@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from actilens.llm.common import partitions, steps, stored, work_path
 from actilens.llm.rans import Tables, decode, encode, frequencies
-from actilens.llm.tokenizing import word_ids
+from actilens.llm.tokenizing import id_type, word_ids
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
+#: Text that is tokenised in one step; more means fewer distinct pieces to look up.
+ENCODE_BYTES = 16 << 20
 BLOCKS = "file long, block long, n_docs long, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary"
 
 
@@ -39,7 +41,8 @@ def public_tokenizer(name: str) -> str:
 
 
 def encoded(docs: DataFrame, order: list[Column], tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """``o`` (struct of the order columns), ``doc_id`` and ``ids`` (little-endian 32-bit numbers) for each row."""
+    """``o`` (struct of the order columns), ``doc_id`` and ``ids`` (numbers of ``id_type``) for each row."""
+    kind = np.dtype(id_type(tokenizer))
     names = [f"o{i}" for i in range(len(order))]
     key = F.struct(*[c.alias(n) for c, n in zip(order, names)], F.xxhash64("doc_id", "text").alias("tie"))
     rows = docs.select(key.alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -47,30 +50,30 @@ def encoded(docs: DataFrame, order: list[Column], tokenizer: str, end_id: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer, end_id)
-        for batch in steps(batches):
-            ids, sizes = encoder.encode(batch.column("text").to_pylist())
-            ends = np.concatenate([[0], np.cumsum(sizes * 4)])
-            data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        for batch in steps(batches, limit=ENCODE_BYTES):
+            ids, sizes = encoder.encode(batch.column("text"))
+            ends = np.concatenate([[0], np.cumsum(sizes * kind.itemsize)])
+            data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("doc_id"), data], ["o", "doc_id", "ids"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def batch_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch and the n + 1 places where its documents begin."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]].view("<u4"), (offsets - offsets[0]) // 4
+    return raw[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
-def token_counts(rows: DataFrame) -> dict[int, int]:
+def token_counts(rows: DataFrame, kind: str) -> dict[int, int]:
     """How often each token occurs: counted in every task, added up by Spark; as many entries as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            ids, _ = _ids(batch.column("ids"))
+            ids, _ = batch_ids(batch.column("ids"), kind)
             mine = np.bincount(ids, minlength=len(counts))
             mine[: len(counts)] += counts
             counts = mine
@@ -81,7 +84,7 @@ def token_counts(rows: DataFrame) -> dict[int, int]:
     return {r.token: r.n for r in summed.collect()}
 
 
-def _blocks(tables: Tables, limit: int):
+def _blocks(tables: Tables, limit: int, kind: str):
     """A task's rows, in order, as the blocks of one file."""
 
     def pack(number: int, ids: list[np.ndarray], docs: list, sizes: list[int]) -> pa.RecordBatch:
@@ -93,7 +96,7 @@ def _blocks(tables: Tables, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, ids, docs, sizes = 0, 0, [], [], []
         for batch in batches:
-            tokens, starts = _ids(batch.column("ids"))
+            tokens, starts = batch_ids(batch.column("ids"), kind)
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), starts.tolist(), starts[1:].tolist()):
                 if docs and held + b - a > limit:
                     yield pack(number, ids, docs, sizes)
@@ -118,14 +121,14 @@ def write(
     """
     spark = docs.sparkSession
     rows = stored(encoded(docs, order or [F.col("doc_id")], tokenizer, end_id), "token-ids")
-    counts = token_counts(rows)
+    counts = token_counts(rows, id_type(tokenizer))
     dense = np.zeros(max(counts, default=-1) + 1, np.int64)
     dense[list(counts)] = list(counts.values())
     freq = frequencies(dense)
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "token long, frequency long").coalesce(1).write.parquet(f"{path}/tables")
     in_order = rows.repartitionByRange(partitions(spark), "o").sortWithinPartitions("o").select("doc_id", "ids")
-    in_order.mapInArrow(_blocks(Tables(freq), block_tokens), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    in_order.mapInArrow(_blocks(Tables(freq), block_tokens, id_type(tokenizer)), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 

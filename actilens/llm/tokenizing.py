@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
+import string
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from actilens.llm.common import ranges, worker_state
 
 #: Pieces that a worker remembers before it starts anew; each takes about 200 bytes.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: ASCII marks that make one pre-token behind a word; the apostrophe begins others.
+MARKS = string.punctuation.replace("'", "")
+
+
+def distinct_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces between single spaces, which one stands at each place, and the number of pieces of each text."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
 class WordIds(dict):
@@ -18,7 +33,7 @@ class WordIds(dict):
 
     No token of such a tokenizer spans a blank, so the ids of a text are those of its pieces one after the other. A piece
     goes through the library once: normaliser, pre-tokenizer and model, or the whole ``encode`` if it could hold an added
-    token. A run of ASCII letters is one pre-token in lower case, and one followed by ASCII marks is that and the marks.
+    token. A run of Latin letters is one pre-token, and one followed by ASCII marks is that and the marks.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -32,6 +47,12 @@ class WordIds(dict):
         if [i for t in ("a b", "a  b") for i in self._whole(t)] != [*self._whole("a"), *self._whole("b")] * 2:
             raise ValueError("this tokenizer does not drop white space")
         self.end_id = end_id
+        # A run of these letters is one pre-token, and each letter goes through the normaliser and splitter on its own.
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        alone = {c: self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chr(c))) for c in range(65, 256) if self.plain(chr(c))}
+        if any(len(parts) != 1 for parts in alone.values()):
+            raise ValueError("this tokenizer splits letters")
+        self.coded = {c: parts[0][0] for c, parts in alone.items()}
         self.forget()
 
     def forget(self) -> None:
@@ -56,16 +77,12 @@ class WordIds(dict):
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.lower())]
-
     def _ids(self, piece: str) -> list[int]:
-        if piece.isascii():
-            if piece.isalpha():
-                return self._letters(piece)
-            word = piece.rstrip(".,;:!?")
-            if word.isalpha():
-                return self._found(word) + self._found(piece[len(word) :])
+        if self.plain(piece):
+            return [t.id for t in self.model.tokenize(piece.translate(self.coded))]
+        word = piece.rstrip(MARKS)
+        if word != piece and self.plain(word):
+            return (self._found(word) if word in self else self._ids(word)) + self._found(piece[len(word) :])
         if any(a in piece for a in self.added):
             return self._whole(piece)
         parts = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))
@@ -77,25 +94,28 @@ class WordIds(dict):
         self[piece] = at = len(self.sizes) + len(self.fresh) - 1
         return at
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number of ids of each text."""
         if len(self) > REMEMBERED:
             self.forget()
-        pieces: list[str | None] = []
-        counts = []
-        for text in texts:
-            mine = text.replace("\n", " ").split(" ") if text else []
-            pieces += mine
-            pieces.append(None)
-            counts.append(len(mine) + 1)
-        place = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        kinds, piece, counts = distinct_pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
+        known = np.fromiter(map(self.__getitem__, kinds), np.int64, len(kinds))
+        place = np.insert(known[piece], np.cumsum(counts), self[None])
         self._keep()
         sizes = self.sizes[place]
         ids = self.flat[np.repeat(self.starts[place], sizes) + ranges(sizes)]
-        ends = np.cumsum(sizes)[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)[np.cumsum(counts + 1) - 1]
         return ids, np.diff(ends, prepend=0)
 
 
+@lru_cache
+def id_type(path: str) -> str:
+    """The narrowest little-endian number that holds every id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def word_ids(path: str, end_id: int | None = None) -> WordIds:
     """The worker's encoder for a tokenizer file."""
     return worker_state(("word ids", path, end_id), lambda: WordIds(path, end_id))
@@ -121,15 +141,19 @@ class PieceCounts(dict):
         self[piece] = n = len(self.model.encode(piece))
         return n
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        pieces = text.split(" ")
-        if not self.separate or "" in pieces:
-            return len(self.model.encode(text))
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of tokens of each text."""
         if len(self) > REMEMBERED:
             self.clear()
-        return sum(map(self.__getitem__, pieces))
+        texts = pc.fill_null(texts, "")
+        kinds, piece, sizes = distinct_pieces(texts)
+        known = np.array([len(k) and self.separate and self[k] for k in kinds], np.int64)
+        blank = np.array([not k or not self.separate for k in kinds], bool)
+        first = np.cumsum(sizes) - sizes
+        total = np.add.reduceat(known[piece], first) if len(piece) else np.zeros(len(sizes), np.int64)
+        for row in np.flatnonzero(np.add.reduceat(blank[piece], first)).tolist() if len(piece) else ():
+            total[row] = len(self.model.encode(texts[row].as_py()))
+        return total
 
 
 def piece_counts(path: str) -> PieceCounts:
