@@ -54,7 +54,7 @@ TERM_PATTERNS = [
     r"\b(apt|advanced persistent threat|insider)\b",
 ]
 COMBINED_PATTERN = "(?i)" + "|".join(TERM_PATTERNS)
-MAX_LITERAL_KEYWORDS = 20_000
+SLICE_KEYWORDS = 2_000
 
 
 def default_clusters(spark) -> DataFrame:
@@ -65,43 +65,21 @@ def default_clusters(spark) -> DataFrame:
 def match_clusters(texts: DataFrame, clusters: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """(row, cluster, sorted hits) for clusters with at least one keyword inside the text.
 
-    The dictionary, checked to be small, becomes an array literal: each text is scanned where it
-    lies, without a join or shuffle. A larger dictionary is processed in slices of checked size.
+    Keywords become array literals of ``SLICE_KEYWORDS`` entries at most, and a text goes past one literal after the other
+    in one pass over the table: rows never meet in a join, so equal ``keep`` values stay two rows, for a dictionary of any
+    number of slices.
     """
-    words = clusters.select("cluster", F.lower("keyword").alias("keyword")).distinct()
-    n = words.limit(MAX_LITERAL_KEYWORDS + 1).count()
-    if n <= MAX_LITERAL_KEYWORDS:
-        parts = [words]
-    else:
-        slices = -(-words.count() // (MAX_LITERAL_KEYWORDS // 2))
-        number = F.pmod(F.xxhash64("cluster", "keyword"), F.lit(slices))
-        parts = [words.filter(number == i) for i in range(slices)]
-    found = None
-    for part in parts:
-        one = _match_literal(texts, part, column, keep)
-        found = one if found is None else found.unionByName(one)
-    if len(parts) == 1:
-        return found
-    return found.groupBy(*keep, "cluster").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-
-
-def _match_literal(texts: DataFrame, words: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
-    by_cluster: dict[str, list[str]] = {}
-    for row in words.collect():
-        by_cluster.setdefault(row["cluster"], []).append(row["keyword"])
-    body = F.col("_text")
-    entry = lambda name, kws: F.struct(
-        F.lit(name).alias("cluster"),
-        F.filter(F.array(*[F.lit(k) for k in sorted(kws)]), lambda k: F.contains(body, k)).alias("hits"),
-    )
-    dictionary = F.array(*[entry(name, kws) for name, kws in sorted(by_cluster.items())])
-    if not by_cluster:
-        dictionary = F.array().cast("array<struct<cluster:string,hits:array<string>>>")
-    return (
-        texts.withColumn("_text", F.lower(F.coalesce(column, F.lit(""))))
-        .select(*keep, F.explode(F.filter(dictionary, lambda e: F.size(e["hits"]) > 0)).alias("m"))
-        .select(*keep, "m.cluster", "m.hits")
-    )
+    words = sorted({(r["cluster"], r["keyword"]) for r in clusters.select("cluster", F.lower("keyword").alias("keyword")).toLocalIterator()})
+    found = "array<struct<cluster:string,keyword:string>>"
+    marked = texts.select(*keep, F.lower(F.coalesce(column, F.lit(""))).alias("_text"), F.array().cast(found).alias("_hits"))
+    for at in range(0, len(words), SLICE_KEYWORDS):
+        entries = [F.struct(F.lit(c).alias("cluster"), F.lit(k).alias("keyword")) for c, k in words[at : at + SLICE_KEYWORDS]]
+        inside = F.filter(F.array(*entries), lambda e: F.contains(F.col("_text"), e["keyword"])).cast(found)
+        marked = marked.withColumn("_hits", F.concat("_hits", inside))
+    names = F.array_distinct(F.transform("_hits", lambda e: e["cluster"]))
+    mine = lambda name: F.transform(F.filter("_hits", lambda e: e["cluster"].eqNullSafe(name)), lambda e: e["keyword"])
+    grouped = F.transform(names, lambda name: F.struct(name.alias("cluster"), F.array_sort(mine(name)).alias("hits")))
+    return marked.select(*keep, F.explode(grouped).alias("m")).select(*keep, "m.cluster", "m.hits")
 
 
 def inventory(clusters: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actilens.functions.casts import or_default
+from actilens.functions.casts import json_object, or_default
 from actilens.functions.timefns import iso_text
 from actilens.scale import broadcast_if_small, time_chunk, with_neighbour
 from actilens.session import cut_lineage
@@ -39,7 +39,7 @@ RULE_COLUMNS = {
 
 def reported_risk(summary: Column) -> Column:
     """``risk_level`` inside the JSON summary: '' when absent, null when the JSON is unusable."""
-    fields = F.from_json(F.coalesce(F.nullif(summary, F.lit("")), F.lit("{}")), "map<string,string>")
+    fields = json_object(F.coalesce(F.nullif(summary, F.lit("")), F.lit("{}")))
     return F.when(fields.isNull(), F.lit(None)).when(
         F.map_contains_key(fields, "risk_level"), fields["risk_level"]
     ).otherwise("")
@@ -68,6 +68,13 @@ def client_fields(logs: DataFrame) -> Callable[[str], Column | None]:
     return lambda name: F.col(names[name]) if names.get(name) in logs.columns else None
 
 
+# Field names that stored rules use besides the columns themselves.
+FIELD_NAMES = [
+    "riskLevel", "activityType", "description", "llmRiskLevel", "user", "timestamp", "id", "details", "ipAddress", "location",
+    "activitySummary",
+]
+
+
 # --- matching ----------------------------------------------------------------------------------
 
 
@@ -94,44 +101,52 @@ def match_rules(
         F.upper(F.coalesce("trigger_value", F.lit("None"))).alias("trigger_text"),
         *[F.col(c).alias(a) for c, a in RULE_COLUMNS.items()],
     )
-    heads = rules.select("playbook_id", "trigger_field", "trigger_operator", "trigger_text").limit(max_literal + 1).collect()
+    heads = rules.limit(max_literal + 1).collect()
     if len(heads) <= max_literal:
-        return _match_literal(logs, rules, heads, keep, fields)
+        return _match_literal(logs, heads, rules.schema, keep, fields)
     return _match_joined(logs, rules, keep, fields)
 
 
-def _match_literal(logs, rules, heads, keep, fields) -> DataFrame:
+def _match_literal(logs, heads, schema, keep, fields) -> DataFrame:
+    """Rules are told apart by their place in ``heads``, so rules that share an id stay two rules."""
     used = {h["trigger_field"]: fields(h["trigger_field"]) for h in heads}
     used = {name: column for name, column in used.items() if column is not None}
     number = {name: f"_u{i}" for i, name in enumerate(sorted(used))}
     prepared = logs.withColumns({number[n]: F.upper(c.cast("string")) for n, c in used.items()})
     hits = []
-    for h in heads:
+    for place, h in enumerate(heads):
         if h["trigger_field"] not in used:
             continue
         value, wanted = F.col(number[h["trigger_field"]]), F.lit(h["trigger_text"])
         test = value == wanted if h["trigger_operator"] == "equals" else F.contains(value, wanted)
-        hits.append(F.when(test, F.lit(h["playbook_id"])))
-    matched = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<string>")
-    pairs = prepared.select(*keep, F.explode(matched).alias("playbook_id"))
-    return pairs.join(F.broadcast(rules.drop("trigger_field", "trigger_operator", "trigger_text")), "playbook_id")
+        hits.append(F.when(test, F.lit(place)))
+    matched = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<int>")
+    pairs = prepared.select(*keep, F.explode(matched).alias("_rule"))
+    numbered = T.StructType([T.StructField("_rule", T.IntegerType()), *schema.fields])
+    rules = logs.sparkSession.createDataFrame([(place, *h) for place, h in enumerate(heads)], numbered)
+    return pairs.join(F.broadcast(rules.drop("trigger_field", "trigger_operator", "trigger_text")), "_rule").drop("_rule")
 
 
 def _match_joined(logs, rules, keep, fields) -> DataFrame:
-    names = [r[0] for r in rules.select("trigger_field").distinct().limit(1000).collect()]
-    known = [(n, fields(n)) for n in sorted(names) if fields(n) is not None]
+    # Every name that a log of these columns can have; rules of other names find no partner in the joins.
+    names = sorted({*FIELD_NAMES, *logs.columns})
+    known = [(n, fields(n)) for n in names if fields(n) is not None]
+    if not known:
+        return logs.select(*keep).crossJoin(F.broadcast(rules.limit(0))).drop("trigger_field", "trigger_operator", "trigger_text")
     stacked = F.array(*[F.struct(F.lit(n).alias("f"), F.upper(c.cast("string")).alias("v")) for n, c in known])
+    wanted = rules.select("trigger_field").distinct()  # one of the known names at most that many times
     values = (
         logs.select(*keep, F.explode(stacked).alias("x"))
         .select(*keep, F.col("x.f").alias("trigger_field"), F.col("x.v").alias("_value"))
         .filter(F.col("_value").isNotNull())
+        .join(F.broadcast(wanted.filter(F.col("trigger_field").isin([n for n, _ in known]))), "trigger_field", "left_semi")
     )
     equal = rules.filter(F.col("trigger_operator") == "equals").withColumnRenamed("trigger_text", "_value")
     out = values.join(equal, ["trigger_field", "_value"]).drop("_value", "trigger_field", "trigger_operator")
     inside = rules.filter(F.col("trigger_operator") == "contains").withColumnRenamed("trigger_field", "_field")
     slices = max(1, -(-inside.count() // SLICE_RULES))
     for i in range(slices):
-        part = inside.filter(F.pmod(F.xxhash64("playbook_id"), F.lit(slices)) == i)
+        part = inside.filter(F.pmod(F.xxhash64("playbook_id", "trigger_text"), F.lit(slices)) == i)
         hit = (F.col("trigger_field") == F.col("_field")) & F.contains("_value", F.col("trigger_text"))
         found = values.join(broadcast_if_small(part, 4 * SLICE_RULES), hit)
         out = out.unionByName(found.drop("_value", "trigger_field", "_field", "trigger_text", "trigger_operator"))
@@ -142,8 +157,10 @@ def _match_joined(logs, rules, keep, fields) -> DataFrame:
 
 
 def confidence(summary: Column) -> Column:
-    """Confidence from the JSON summary, 0 when absent or unreadable, clamped to [0, 1]."""
-    value = F.get_json_object(summary, "$.confidence").try_cast("double")
+    """Confidence from the JSON summary, 0 when absent or unreadable, clamped to [0, 1]; true is 1."""
+    found = json_object(summary)["confidence"]
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(summary), "$.confidence", "variant"))
+    value = F.when(kind == "BOOLEAN", (found == "true").cast("double")).otherwise(found.try_cast("double"))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
 
 

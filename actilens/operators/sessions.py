@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actilens.functions.casts import json_object
 from actilens.functions.text import key_name
 from actilens.operators.scans import of_activity, time_range
 
@@ -24,11 +25,8 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
     The newer shape has ``key_counts``; the older one is just a map of counts. What cannot be read
     stays null: a bad duration also hides keystrokes and app, a bad old-shape value hides all.
     """
-    # Malformed text can parse to an empty map, so the text is also checked to be JSON. The pair goes
-    # through a one-row explode: later filters then cannot copy the parsing into their conditions.
-    parsed = F.struct(
-        F.from_json(F.col(column), COUNTS).alias("doc"), F.get_json_object(F.col(column), "$").isNotNull().alias("valid")
-    )
+    # The fields go through a one-row explode: later filters then cannot copy the parsing into their conditions.
+    parsed = F.struct(json_object(F.col(column)).alias("doc"))
     has = lambda name: F.map_contains_key(F.col("_doc"), name)
     item = lambda name: F.col("_doc")[name]
     number = lambda name: F.when(has(name), item(name).try_cast("double")).otherwise(0.0)
@@ -36,10 +34,10 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
     values = F.transform(F.map_values("_doc"), lambda v: v.try_cast("double"))
     readable = F.forall(values, lambda v: v.isNotNull())
     typed = lambda m: F.transform_values(m, lambda _, v: F.coalesce(_whole(v), F.lit(0).cast("long")))
-    usable = F.col("_doc").isNotNull() & F.col("_valid")
+    usable = F.col("_doc").isNotNull()
     return (
         logs.select("*", F.explode(F.array(parsed)).alias("_j"))
-        .withColumns({"_doc": F.col("_j.doc"), "_valid": F.col("_j.valid")})
+        .withColumn("_doc", F.col("_j.doc"))
         .withColumn("shape", F.when(usable & has("key_counts"), "new").when(usable, "old"))
         .withColumn("_duration", F.when(newer, number("duration_seconds")))
         .withColumn("_total", F.when(newer & F.col("_duration").isNotNull(), F.floor(number("total_keystrokes")).cast("long")))
@@ -55,7 +53,7 @@ def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataF
                 "key_counts": F.when(newer, typed(F.from_json(item("key_counts"), COUNTS))).when(older & readable, typed(F.col("_doc"))),
             }
         )
-        .drop("_j", "_doc", "_valid", "_duration", "_total")
+        .drop("_j", "_doc", "_duration", "_total")
     )
 
 

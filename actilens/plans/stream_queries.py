@@ -11,6 +11,10 @@ from actilens.sources.views import StreamTables
 from actilens.streaming import jobs
 
 
+#: Time cells of the replays: they need no early results, and fewer cells are fewer state accesses.
+DAY = 86400
+
+
 def _streamed(t, *names: str) -> StreamTables:
     return StreamTables(t.spark, t.folder, names)
 
@@ -19,6 +23,12 @@ def _run(stream, mode: str = "append"):
     return jobs.run_available(stream, jobs.work_folder(stream.sparkSession), mode)
 
 
+def _replay(build, *sources):
+    """Run to the end of stored sources; each is a stream with its time in ``ts``, or a pair with another time column."""
+    pairs = [x if isinstance(x, tuple) else (x, "ts") for x in sources]
+    return jobs.replay(build, pairs, jobs.work_folder(pairs[0][0].sparkSession))
+
+
 @query("s05_log_stream", "select id, ts, user_name, activity_type, risk_level from logs_core")
 def _(t):
     s = _streamed(t, "events")
@@ -30,12 +40,11 @@ def _(t):
     return _run(_streamed(t, "lineitem").traffic).drop("_batch")
 
 
-@query("t02_first_arrivals", "select count(*) as n, count(distinct id) as n_ids from logs_core")
+@query("t02_first_arrivals", "select id, ts from logs_core")
 def _(t):
     s = _streamed(t, "events")
     twice = s.logs_slim.select("id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    out = _run(jobs.first_arrivals(twice))
-    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    return _run(jobs.first_arrivals(twice, jobs.REPLAY_LATENESS)).select("id", "ts")
 
 
 @query("t03_running_keys", sequence_queries.HEAT_SQL)
@@ -49,40 +58,36 @@ select date_trunc('minute', ts) as minute, case when starts_with(destination_ip,
   cast(sum(bytes_transferred) as bigint) as bytes from traffic group by 1, 2""")
 def _(t):
     s = _streamed(t, "lineitem")
-    return jobs.latest(_run(jobs.minute_series(s.traffic), "update"), ["minute", "direction"])
+    return jobs.latest(_run(jobs.minute_series(s.traffic, jobs.REPLAY_LATENESS), "update"), ["minute", "direction"])
 
 
 @query("t05_flushed_pairs", "select ts as flushed_from, source_ip, destination_ip, count(*) as n from traffic group by all")
 def _(t):
     s = _streamed(t, "lineitem")
-    return jobs.latest(_run(jobs.flushed_pairs(s.traffic), "update"), ["flushed_from", "source_ip", "destination_ip"])
+    return jobs.latest(_run(jobs.flushed_pairs(s.traffic, watermark=jobs.REPLAY_LATENESS), "update"), ["flushed_from", "source_ip", "destination_ip"])
 
 
 @query("t06_stream_limiter", f"{rule_queries.LIMIT_SQL} select user_name, id, allowed from walk")
 def _(t):
     s = _streamed(t, "events")
-    out = jobs.limited(s.logs_slim.select("id", "ts", "user_name"), ["user_name"], F.lit(2), F.lit(86400))
-    return _run(out).select("user_name", "id", "allowed")
+    limited = lambda logs: jobs.limited(logs, ["user_name"], F.lit(2), F.lit(86400), DAY)
+    return _replay(limited, s.logs_slim.select("id", "ts", "user_name")).select("user_name", "id", "allowed")
 
 
 @query("t07_stream_audit", f"{rule_queries.AUDIT_SQL} select id as source_log_id, playbook_id, status, reason from audited")
 def _(t):
     s = _streamed(t, "events")
-    folder = jobs.work_folder(t.spark)
-    parts = [jobs.run_available(part, folder, name=name) for name, part in zip(("settled", "limited"), jobs.stream_audit(s.logs, t.playbooks))]
+    parts = [_replay(lambda logs, n=n: jobs.stream_audit(logs, t.playbooks, DAY)[n], s.logs) for n in (0, 1)]
     return parts[0].unionByName(parts[1]).select("source_log_id", "playbook_id", "status", "reason")
 
 
 @query("t08_inactivity_events", """
-select user_name, 'warning' as kind, ts + to_seconds(6900) as at from gaps where gap > 6900
-union all select user_name, 'limit', ts + to_seconds(7200) from gaps where gap > 7200""".replace("gaps", """(
+select user_name, 'warning' as kind, ts + to_seconds(6900) as at from gaps where coalesce(gap, 1e18) > 6900
+union all select user_name, 'limit', ts + to_seconds(7200) from gaps where coalesce(gap, 1e18) > 7200""".replace("gaps", """(
   select user_name, ts, (epoch_us(lead(ts) over (partition by user_name order by ts, id)) - epoch_us(ts)) / 1000000e0 as gap from logs_core)"""))
 def _(t):
-    s = _streamed(t, "events")
-    out = _run(jobs.inactivity_events(s.logs_slim)).select("user_name", "kind", "at")
-    # An open gap at the end of the data has no closing row in the SQL form.
-    last = t.logs_slim.groupBy("user_name").agg(F.max("ts").alias("last"))
-    return out.join(last, "user_name").filter(F.col("at") <= F.col("last")).drop("last")
+    """The last gap of a user is open and falls due when the stream's clock has passed it."""
+    return _replay(lambda logs: jobs.inactivity_events(logs, cell_seconds=DAY), _streamed(t, "events").logs_slim).select("user_name", "kind", "at")
 
 
 @query("t09_clipboard_stream", """
@@ -90,14 +95,14 @@ select user_name, ts, seq, length(c) as length, h as hash, printf('Clipboard upd
   select *, sha256(c) as h, lag(sha256(c)) over (partition by user_name order by ts, seq) as prev from (
     select user_name, ts, seq, trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as c from clipboard)) where prev is null or prev <> h""")
 def _(t):
-    return _run(jobs.clipboard_events(_streamed(t, "conversations").clipboard)).drop("_batch")
+    return _replay(lambda c: jobs.clipboard_events(c, cell_seconds=DAY), _streamed(t, "conversations").clipboard).drop("_batch")
 
 
 @query("t10_round_verdicts", f"""{FED_SQL}
 select message_id, round_id, agent_id, verdict from judged""")
 def _(t):
     s = _streamed(t, "embeddings")
-    out = _run(jobs.round_events(s.federated_updates, s.federated_reveals))
+    out = _replay(lambda u, r: jobs.round_events(u, r, DAY), (s.federated_updates, "submitted_at"), (s.federated_reveals, "revealed_at"))
     return out.filter(F.col("kind") == "update").select("message_id", "round_id", "agent_id", "verdict")
 
 
@@ -108,7 +113,7 @@ select s.round_id, p.pos, p.value from status s join (
 on p.round_id = s.round_id where s.finalized""")
 def _(t):
     s = _streamed(t, "embeddings")
-    out = _run(jobs.round_events(s.federated_updates, s.federated_reveals)).filter(F.col("average").isNotNull())
+    out = _replay(lambda u, r: jobs.round_events(u, r, DAY), (s.federated_updates, "submitted_at"), (s.federated_reveals, "revealed_at")).filter(F.col("average").isNotNull())
     return out.select("round_id", F.posexplode("average").alias("pos", "value")).withColumn("value", F.round("value", 9))
 
 
@@ -119,7 +124,7 @@ TTL_SQL = rule_queries.limiter_sql("select id, ts, activity_type || props as req
 def _(t):
     s = _streamed(t, "events")
     requests = s.logs_core.select("id", "ts", F.concat("activity_type", "props").alias("request"))
-    return _run(jobs.first_requests(requests, "request")).select("request", "id")
+    return _replay(lambda r: jobs.first_requests(r, "request", cell_seconds=DAY), requests).select("request", "id")
 
 
 @query("t12_metric_history", "select host, ts, cpu_usage from metric_points where ts >= timestamp '2024-01-29 12:00:00'")
@@ -146,5 +151,5 @@ def _(t):
 
 @query("t14_streamed_transitions", rule_queries.TRANSITIONS_SQL)
 def _(t):
-    pairs = _run(jobs.activity_pairs(_streamed(t, "events").logs_slim))
+    pairs = _replay(lambda logs: jobs.activity_pairs(logs, DAY), _streamed(t, "events").logs_slim)
     return pairs.groupBy("activity_type", "next_activity").agg(F.count("*").alias("n"))

@@ -78,6 +78,41 @@ def test_match_fields_and_operators(make_logs, spark):
         assert got == [("l0", "eq"), ("l0", "has"), ("l0", "llm"), ("l2", "user")], literal
 
 
+def test_rules_that_share_an_id_stay_apart(make_logs, spark):
+    logs = make_logs([{"risk_level": "CRITICAL", "description": "exfil"}])
+    books = book(
+        spark, {"id": "p", "action_type": "A"}, {"id": "p", "action_type": "B"}, {"id": "p", "action_type": "B"},
+        {"id": "p", "trigger_field": "description", "trigger_value": "exfil", "action_type": "C"},
+    )
+    for literal in (200, 0):
+        got = sorted(r["action_type"] for r in rules.match_rules(logs, books, ["id"], max_literal=literal).collect())
+        assert got == ["A", "B", "B", "C"], literal
+
+
+def test_very_many_fields_and_no_known_field(make_logs, spark):
+    logs = make_logs([{"risk_level": "CRITICAL", "location": "here"}])
+    many = [{"id": f"n{k}", "trigger_field": f"field{k:04d}"} for k in range(1500)]
+    many += [{"id": "a"}, {"id": "z", "trigger_field": "location", "trigger_value": "HERE"}, {"id": "c", "trigger_operator": "contains", "trigger_value": "crit"}]
+    for literal in (2000, 0):
+        pairs = rules.match_rules(logs, book(spark, *many), ["id"], max_literal=literal)
+        assert sorted(r["playbook_id"] for r in pairs.collect()) == ["a", "c", "z"], literal
+    for literal in (200, 0):
+        assert rules.match_rules(logs, book(spark, {"id": "x", "trigger_field": "nothing"}), ["id"], max_literal=literal).count() == 0
+
+
+def test_summaries_must_be_one_json_object(spark):
+    texts = {
+        '{"confidence": 0.9}': 0.9, ' {"confidence": 0.9} ': 0.9, '{"confidence": "0.7"}': 0.7, '{"confidence": true}': 1.0, '{"confidence": "true"}': 0.0,
+        '{"confidence": 0.9} x': 0.0, "{'confidence': 0.9}": 0.0, '{"confidence": 0.9}{}': 0.0, '{"confidence": 0.9}]': 0.0, '{"confidence": 0.9}}': 0.0,
+        '{"confidence": 0.9}, 1': 0.0, '[{"confidence": 0.9}]': 0.0, "": 0.0, '{"confidence": 7}': 1.0, '{"confidence": null}': 0.0, '{"a": {"b": "x } y"}}': 0.0,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: r.c for r in rows.select("t", rules.confidence(F.col("t")).alias("c")).collect()}
+    assert got == {**texts, None: 0.0}
+    risk = lambda t: spark.createDataFrame([(t,)], "t string").select(rules.reported_risk(F.col("t")).alias("r")).first().r
+    assert [risk(t) for t in ('{"risk_level": "x"}', '{"a": 1}', '{"a": 1} x', "{'risk_level': 'x'}", "")] == ["x", "", None, None, ""]
+
+
 def test_absent_reported_level_is_blank(make_logs, spark):
     logs = make_logs([{"activity_summary": None}, {"activity_summary": '{"a": 1}'}, {"activity_summary": "[1]"}])
     books = book(spark, {"id": "blank", "trigger_field": "llmRiskLevel", "trigger_value": ""})

@@ -12,12 +12,15 @@ from actilens.streaming import jobs
 START = datetime(2026, 1, 1)
 
 
-def feed(spark, df, folder, parts=3):
-    """Write ``df`` as one file per slice of its time order and read the folder as a stream."""
+def feed(spark, df, folder, parts=3, shuffled=False):
+    """Write ``df`` as one file per slice, in the order of time or in none, and read the folder as a stream."""
+    import random
     import time
 
     n = df.count()
     ordered = df.orderBy("ts").collect()
+    if shuffled:
+        random.Random(1).shuffle(ordered)
     size = max(1, -(-n // parts))
     for i in range(0, n, size):
         spark.createDataFrame(ordered[i : i + size], df.schema).coalesce(1).write.mode("append").parquet(folder)
@@ -25,6 +28,10 @@ def feed(spark, df, folder, parts=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def replay(build, stream, folder):
+    return jobs.replay(build, [(stream, "ts")], str(folder))
+
+
 def same(a, b):
     a, b = a.select(sorted(a.columns)), b.select(sorted(b.columns))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
@@ -85,6 +92,7 @@ def test_minute_series_drops_late_rows(spark, tmp_path):
     assert jobs.latest(first, ["minute", "direction"]).count() == 30
     spark.createDataFrame([("late", START, "s", "9.9.9.9", 999), ("new", START + timedelta(minutes=29, seconds=5), "s", "192.168.0.1", 5)], TRAFFIC).coalesce(1).write.mode("append").parquet(folder)
     again = jobs.latest(jobs.run_available(jobs.minute_series(stream), str(tmp_path / "w"), "update"), ["minute", "direction"])
+    assert jobs.late_rows(spark, str(tmp_path / "w")) == 1
     got = {r["minute"]: r["bytes"] for r in again.collect()}
     assert got[START] == 10 and got[START + timedelta(minutes=29)] == 15
 
@@ -98,7 +106,8 @@ def test_pair_counts(spark, tmp_path):
 
 def test_limiter(spark, busy_logs, tmp_path):
     narrow = busy_logs.select("id", "ts", "user_name")
-    out = jobs.run_available(jobs.limited(feed(spark, narrow, str(tmp_path / "in")), ["user_name"], F.lit(2), F.lit(300)), str(tmp_path / "w"))
+    limited = lambda logs: jobs.limited(logs, ["user_name"], F.lit(2), F.lit(300))
+    out = replay(limited, feed(spark, narrow, str(tmp_path / "in")), tmp_path / "w")
     same(out.drop("_batch"), rules.rate_limit(narrow, ["user_name"], F.lit(2), F.lit(300)))
 
 
@@ -107,21 +116,21 @@ def test_audit(spark, busy_logs, tmp_path):
 
     books = book(spark, {"id": "p1", "min_confidence": 0.3, "rate_limit_count": 2}, {"id": "p2", "trigger_field": "description", "trigger_operator": "contains", "trigger_value": "BET", "requires_approval": True})
     stream = feed(spark, busy_logs, str(tmp_path / "in"))
-    parts = [jobs.run_available(p, str(tmp_path / f"w{i}")) for i, p in enumerate(jobs.stream_audit(stream, books))]
+    parts = [replay(lambda logs, i=i: jobs.stream_audit(logs, books)[i], stream, tmp_path / f"w{i}") for i in (0, 1)]
     same(parts[0].unionByName(parts[1]).drop("_batch"), rules.audit(busy_logs, books))
 
 
 def test_change_detectors(spark, tmp_path):
     clips = spark.createDataFrame([("u", START + timedelta(seconds=i), i, c) for i, c in enumerate(["x", " x", "y", None, "y", "x", "x"])], "user_name string, ts timestamp, seq long, content string")
-    out = jobs.run_available(jobs.clipboard_events(feed(spark, clips, str(tmp_path / "c"))), str(tmp_path / "w1")).drop("_batch")
+    out = replay(jobs.clipboard_events, feed(spark, clips, str(tmp_path / "c")), tmp_path / "w1").drop("_batch")
     same(out, devices.clipboard_changes(clips))
     snaps = spark.createDataFrame([("h", START + timedelta(hours=i), i, d) for i, d in enumerate([[], ["a"], ["a"], ["a", "b"], ["b"], []])], "host string, ts timestamp, snapshot_id long, devices array<string>")
-    out = jobs.run_available(jobs.device_events(feed(spark, snaps, str(tmp_path / "d"))), str(tmp_path / "w2")).drop("_batch")
+    out = replay(jobs.device_events, feed(spark, snaps, str(tmp_path / "d")), tmp_path / "w2").drop("_batch")
     same(out, devices.device_changes(snaps).drop("devices"))
 
 
 def test_transitions(spark, busy_logs, tmp_path):
-    out = jobs.run_available(jobs.activity_pairs(feed(spark, busy_logs, str(tmp_path / "in"))), str(tmp_path / "w"))
+    out = replay(jobs.activity_pairs, feed(spark, busy_logs, str(tmp_path / "in")), tmp_path / "w")
     same(out.groupBy("activity_type", "next_activity").agg(F.count("*").alias("n")), markov.transitions(busy_logs))
 
 
@@ -129,7 +138,7 @@ def test_inactivity_timer_fires_once(spark, make_logs, tmp_path):
     times = [0, 100, 7000 + 100, 20000]
     rows = [{"ts": START + timedelta(seconds=s), "user_name": "ann"} for s in times]
     rows += [{"ts": START + timedelta(seconds=s), "user_name": "clock"} for s in range(0, 60000, 3000)]
-    out = jobs.run_available(jobs.inactivity_events(feed(spark, make_logs(rows), str(tmp_path / "in"), 6)), str(tmp_path / "w"))
+    out = replay(jobs.inactivity_events, feed(spark, make_logs(rows), str(tmp_path / "in"), 6), tmp_path / "w")
     got = sorted((r["kind"], int((r["at"] - START).total_seconds())) for r in out.filter("user_name = 'ann'").collect())
     assert got == [("limit", 14300), ("limit", 27200), ("warning", 7000), ("warning", 14000), ("warning", 26900)]
     assert out.filter("user_name = 'clock'").filter(F.col("at") < F.lit(START + timedelta(seconds=57000))).count() == 0
@@ -142,7 +151,7 @@ def test_federated_rounds(spark, tmp_path):
     r = reveals(spark, ("a", [0.5, 0.5]), ("ghost", [0.0, 0.0]), ("b", [1.0, 1.0]), ("a", [7.0, 7.0]))
     us = feed(spark, u.withColumn("ts", F.col("submitted_at")), str(tmp_path / "u"), 1)
     rs = feed(spark, r.withColumn("ts", F.col("revealed_at")), str(tmp_path / "r"), 1)
-    out = jobs.run_available(jobs.round_events(us, rs), str(tmp_path / "w"))
+    out = jobs.replay(jobs.round_events, [(us, "submitted_at"), (rs, "revealed_at")], str(tmp_path / "w"))
     verdicts = {x["message_id"]: x["verdict"] for x in out.filter("kind = 'update'").collect()}
     assert verdicts == {x["message_id"]: x["verdict"] for x in federated.submission_verdicts(u).collect()}
     average = out.filter("average is not null").first()["average"]
@@ -155,7 +164,7 @@ def test_request_cache(spark, tmp_path):
     df = spark.createDataFrame([("k", START + timedelta(seconds=s), f"{i}") for i, s in enumerate([0, 299, 300, 500, 600])], "request string, ts timestamp, id string")
     batch = jobs.first_requests(df, "request")
     assert sorted(r["id"] for r in batch.collect()) == ["0", "2", "4"]
-    out = jobs.run_available(jobs.first_requests(feed(spark, df, str(tmp_path / "in")), "request"), str(tmp_path / "w"))
+    out = replay(lambda r: jobs.first_requests(r, "request"), feed(spark, df, str(tmp_path / "in")), tmp_path / "w")
     same(out.drop("_batch"), batch)
 
 
@@ -172,3 +181,22 @@ def test_retry_batches(spark, tmp_path):
     run.awaitTermination()
     same(spark.read.parquet(str(tmp_path / "next")), retry_step(q, outcomes.drop("ts"), "2026-01-01 00:00:00"))
     assert policy.ANOMALY_TAG.strip() == "[ML_DETECTED]"
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_rows_in_any_order_of_files(spark, busy_logs, tmp_path, parts):
+    """However the rows are dealt over files, the result is that of the table."""
+    narrow = busy_logs.select("id", "ts", "user_name", "activity_type")
+    stream = feed(spark, narrow, str(tmp_path / "in"), parts, shuffled=True)
+    out = replay(lambda logs: jobs.limited(logs, ["user_name"], F.lit(2), F.lit(300)), stream, tmp_path / "w1")
+    same(out.drop("_batch"), rules.rate_limit(narrow, ["user_name"], F.lit(2), F.lit(300)))
+    pairs = replay(jobs.activity_pairs, stream, tmp_path / "w2")
+    same(pairs.groupBy("activity_type", "next_activity").agg(F.count("*").alias("n")), markov.transitions(narrow))
+    seen = jobs.run_available(jobs.first_arrivals(stream, jobs.REPLAY_LATENESS), str(tmp_path / "w3"))
+    assert seen.count() == narrow.count() and jobs.late_rows(spark, str(tmp_path / "w3")) == 0
+
+
+def test_an_empty_stream_gives_an_empty_table(spark, make_logs, tmp_path):
+    make_logs([{}]).limit(0).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(make_logs([{}]).schema).parquet(str(tmp_path / "in"))
+    assert jobs.run_available(jobs.first_arrivals(stream), str(tmp_path / "w")).count() == 0

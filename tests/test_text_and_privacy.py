@@ -168,10 +168,11 @@ def test_clusters(spark):
 
 
 def test_cluster_slices_give_the_same(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "ransomware worm xss sqli root")], "id int, t string")
+    texts = spark.createDataFrame([(1, "ransomware worm xss sqli root"), (2, "worm"), (2, "worm ransomware")], "id int, t string")
     whole = keywords.match_clusters(texts, keywords.default_clusters(spark), "t", ["id"]).collect()
-    monkeypatch.setattr(keywords, "MAX_LITERAL_KEYWORDS", 10)
+    monkeypatch.setattr(keywords, "SLICE_KEYWORDS", 10)
     sliced = keywords.match_clusters(texts, keywords.default_clusters(spark), "t", ["id"]).collect()
+    assert sorted(r["hits"] for r in sliced if r["id"] == 2) == [["ransomware", "worm"], ["worm"]]  # equal keys stay two rows
     key = lambda r: r["cluster"]
     assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, sliced), key=str) and len({key(r) for r in whole}) >= 3
 
