@@ -18,8 +18,8 @@ FINDING_COLUMNS = ["type", "source", "destination", "value", "id"]
 def threat_report(logs: DataFrame, limit: int | None = 100) -> DataFrame:
     """Score, summary, recommendations and flagged ids over the newest ``limit`` logs (all if None).
 
-    One aggregate. With ``limit=None`` the flagged ids are left to :func:`flagged_logs`, since that
-    list grows with the data.
+    One aggregate. With ``limit=None`` ``flagged_logs`` is null and the ids are left to :func:`flagged_logs`, since
+    that list grows with the data.
     """
     rows = logs if limit is None else newest(logs.select("id", "ts", "risk_level"), limit)
     level = F.col("risk_level")
@@ -28,8 +28,8 @@ def threat_report(logs: DataFrame, limit: int | None = 100) -> DataFrame:
         F.count_if(level == "CRITICAL").alias("critical"),
         F.count_if(level == "HIGH").alias("high"),
     ]
-    if limit is not None:
-        aggregates.append(F.array_sort(F.collect_list(F.when(level == "CRITICAL", F.col("id")))).alias("flagged_logs"))
+    flagged = F.array_sort(F.collect_list(F.when(level == "CRITICAL", F.col("id"))))
+    aggregates.append((F.lit(None).cast("array<string>") if limit is None else flagged).alias("flagged_logs"))
     total, critical, high = F.col("total_logs"), F.col("critical"), F.col("high")
     raw = F.when(total > 0, F.least(F.lit(100.0), (critical * 10 + high * 5) / total * 100)).otherwise(0.0)
     counts = F.format_string(

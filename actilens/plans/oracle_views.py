@@ -60,6 +60,13 @@ from events"""),
 select case when user_id % 4 = 0 then 'lo' else 'eth' end || cast(user_id % 4 as varchar) as iface, cast(ts as timestamp) as ts,
   cast(floor(value * 1000) as bigint) as bytes_sent, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) * 100 as bytes_recv
 from events"""),
+    "user_rules": (("users",), """
+select 'rule-' || id as id, 'watch ' || user_name as name, status = 'ACTIVE' as is_active, 'user' as trigger_field, 'equals' as trigger_operator,
+  user_name as trigger_value, case when role = 'Administrator' then 'ALERT_ADMIN' else 'LOCK_USER' end as action_type,
+  case when k % 4 <> 0 then 0.5e0 end as min_confidence, case when k % 5 <> 0 then clearance_level = 'L1' end as requires_approval,
+  case when k % 6 <> 0 then cast(k % 9 as integer) end as rate_limit_count, case when k % 7 <> 0 then 3600 end as rate_limit_window_seconds,
+  case when k % 8 = 0 then '' when k % 3 <> 0 then 'internal_only' end as scope
+from (select *, cast(id as bigint) as k from users)"""),
     "playbooks": ((), """
 select * from (values
   ('p1', 'lock critical', true,  'riskLevel',    'equals',   'critical',  'LOCK_USER',       0.0e0,  false, 2, 86400, 'global'),

@@ -33,13 +33,12 @@ def _(t):
 select id, name, is_active, trigger_field as field, trigger_operator as operator, trigger_value as value, action_type as type,
   coalesce(min_confidence, 0e0) as min_confidence, coalesce(requires_approval, false) as requires_approval,
   coalesce(rate_limit_count, 5) as rate_limit_count, coalesce(rate_limit_window_seconds, 300) as rate_limit_window_seconds,
-  coalesce(nullif(scope, ''), 'global') as scope, u.n_users
-from playbooks cross join (select count(*) as n_users from users) u""")
+  coalesce(nullif(scope, ''), 'global') as scope
+from user_rules""")
 def _(t):
-    n_users = t.users.agg(F.count("*")).scalar()
-    return scans.rules(t.playbooks).select(
+    return scans.rules(t.user_rules).select(
         "id", "name", "is_active", "trigger.*", F.col("action.type"), "min_confidence", "requires_approval",
-        "rate_limit_count", "rate_limit_window_seconds", "scope", n_users.alias("n_users"),
+        "rate_limit_count", "rate_limit_window_seconds", "scope",
     )
 
 
@@ -191,10 +190,9 @@ def _(t):
     return _queue(t).select("id", (F.col("retries") + 1).alias("retries"), timefns.retry_delay(F.col("retries")).alias("delay"))
 
 
-@query("f18_active_rules", """
-select p.id, p.name, u.n_users from playbooks p cross join (select count(*) as n_users from users) u where p.is_active""")
+@query("f18_active_rules", "select id, name, trigger_value from user_rules where is_active")
 def _(t):
-    return scans.active_rules(t.playbooks).select("id", "name", t.users.agg(F.count("*")).scalar().alias("n_users"))
+    return scans.active_rules(t.user_rules).select("id", "name", "trigger_value")
 
 
 @query("f19_role_permissions", """
@@ -217,6 +215,13 @@ def _(t):
     return reports.threat_report(t.logs_slim).select("total_logs", "critical", "high", "threat_score")
 
 
+@query("a01_threat_report_all", f"""
+select total_logs, critical, high, round(raw, 2) as threat_score
+from ({SCORE_SQL.replace("order by ts desc, id limit 100", "")})""")
+def _(t):
+    return reports.threat_report(t.logs_slim, limit=None).select("total_logs", "critical", "high", "threat_score")
+
+
 @query("a02_threat_summary", f"""
 select printf('Analyzed %d events. Detected %d critical and %d high-severity anomalies.', total_logs, critical, high) ||
   case when raw > 50 then ' System is under significant threat pressure.' else ' System status is within nominal parameters.' end as summary

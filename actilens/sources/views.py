@@ -207,6 +207,21 @@ class Tables:
     def playbooks(self) -> DataFrame:
         return self.spark.createDataFrame(PLAYBOOKS, PLAYBOOK_SCHEMA)
 
+    @cached_property
+    def user_rules(self) -> DataFrame:
+        """One response rule for each user, with unset guard rails here and there."""
+        k = F.col("id").cast("long")
+        unless = lambda n, value: F.when(k % n != 0, value)
+        return self.users.select(
+            F.concat(F.lit("rule-"), "id").alias("id"), F.concat(F.lit("watch "), "user_name").alias("name"),
+            (F.col("status") == "ACTIVE").alias("is_active"), F.lit("user").alias("trigger_field"), F.lit("equals").alias("trigger_operator"),
+            F.col("user_name").alias("trigger_value"),
+            F.when(F.col("role") == "Administrator", "ALERT_ADMIN").otherwise("LOCK_USER").alias("action_type"),
+            F.lit(None).cast("string").alias("action_target"), unless(4, F.lit(0.5)).alias("min_confidence"),
+            unless(5, F.col("clearance_level") == "L1").alias("requires_approval"), unless(6, (k % 9).cast("int")).alias("rate_limit_count"),
+            unless(7, F.lit(3600)).alias("rate_limit_window_seconds"), F.when(k % 8 == 0, "").otherwise(F.when(k % 3 != 0, "internal_only")).alias("scope"),
+        )
+
     @cached_property
     def keyword_clusters(self) -> DataFrame:
         rows = [(c, k, "manual") for c, k in CLUSTERS]
