@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actilens.functions.risk import risk_score
@@ -108,12 +108,70 @@ def first_reveals(reveals: DataFrame) -> DataFrame:
     return reveals.groupBy("round_id", "agent_id").agg(F.min_by("mask", "revealed_at").alias("mask"))
 
 
+def _placed(updates: DataFrame, reveals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions and reveals on narrow rows, without vectors, in the order ``o`` of (time, message)."""
+    kept = ["round_id", "agent_id", "message_id", "dimension", "round_min_clients", "verdict"]
+    sent = submission_verdicts(updates).select(*kept, F.struct(F.col("submitted_at").alias("at"), F.col("message_id").alias("m")).alias("o"))
+    shown = reveals.select(
+        "round_id", "agent_id", F.concat(F.lit("reveal-"), "agent_id").alias("message_id"), F.size("mask").alias("size"),
+        F.struct(F.col("revealed_at").alias("at"), F.concat(F.lit("reveal-"), "agent_id").alias("m")).alias("o"),
+    )
+    accepted = sent.filter("verdict = 'accepted'").select("round_id", "agent_id", "dimension", "round_min_clients", F.col("o").alias("sent_o"))
+    return sent, shown.join(accepted, ["round_id", "agent_id"], "left")
+
+
+def _closings(sent: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``first``: when the mask of each agent was first revealed; ``closed``: when each round was complete.
+
+    A round closes with the first reveal at which as many masks are shown as submissions are in, and enough of them.
+    """
+    valid = shown.filter((F.col("sent_o") < F.col("o")) & (F.col("size") == F.col("dimension")))
+    first = valid.groupBy("round_id", "agent_id").agg(F.min("o").alias("first_o"), F.first("round_min_clients").alias("n"))
+    step = lambda df, o, kind: df.select("round_id", F.col(o).alias("o"), F.col("n"), F.lit(kind).alias("kind"))
+    subs = sent.filter("verdict = 'accepted'").withColumn("n", F.col("round_min_clients"))
+    events = step(subs, "o", 0).unionByName(step(first, "first_o", 1))
+    upto = Window.partitionBy("round_id").orderBy("o", "kind")
+    counted = events.withColumns({"shown": F.sum("kind").over(upto), "in": F.sum(1 - F.col("kind")).over(upto)})
+    full = (F.col("kind") == 1) & (F.col("shown") == F.col("in")) & (F.col("in") >= F.col("n"))
+    return first.drop("n"), counted.filter(full).groupBy("round_id").agg(F.min("o").alias("closed_o"))
+
+
+def message_verdicts(updates: DataFrame, reveals: DataFrame) -> DataFrame:
+    """``round_id``, ``agent_id``, ``message_id``, ``kind``, ``verdict`` of every submission and reveal, as the round service
+    answers them in order of time: what comes after a round has closed is refused."""
+    sent, shown = _placed(updates, reveals)
+    first, closed = _closings(sent, shown)
+    opened = sent.groupBy("round_id").agg(F.min("o").alias("opened_o"))
+    after = F.col("closed_o").isNotNull() & (F.col("o") > F.col("closed_o"))
+    names = ["round_id", "agent_id", "message_id"]
+    told = sent.join(closed, "round_id", "left").select(
+        *names, F.lit("update").alias("kind"), F.when(after, "round_already_finalized").otherwise(F.col("verdict")).alias("verdict")
+    )
+    verdict = (
+        F.when(F.col("opened_o").isNull() | (F.col("o") < F.col("opened_o")), "unknown_round")
+        .when(after, "round_already_finalized")
+        .when(F.col("sent_o").isNull() | (F.col("sent_o") > F.col("o")), "no_submission")
+        .when(F.col("first_o") < F.col("o"), "mask_already_revealed")
+        .when(F.col("size") != F.col("dimension"), "dimension_mismatch")
+        .otherwise("revealed")
+    )
+    answered = shown.join(first, ["round_id", "agent_id"], "left").join(closed, "round_id", "left").join(opened, "round_id", "left")
+    return told.unionByName(answered.select(*names, F.lit("reveal").alias("kind"), verdict.alias("verdict")))
+
+
 def revealed_updates(updates: DataFrame, reveals: DataFrame) -> DataFrame:
-    """Accepted submissions with their mask where it was revealed; reveals alone are refused."""
-    accepted = accepted_updates(updates)
-    return accepted.join(first_reveals(reveals), ["round_id", "agent_id"], "left").withColumn(
-        "mask", F.when(F.size("mask") == F.col("dimension"), F.col("mask"))
+    """Submissions accepted before their round closed, with their mask where it was revealed; reveals alone are refused."""
+    first, closed = _closings(*_placed(updates, reveals))
+    order = F.struct(F.col("submitted_at").alias("at"), F.col("message_id").alias("m"))
+    accepted = accepted_updates(updates).join(closed, "round_id", "left")
+    accepted = accepted.filter(F.col("closed_o").isNull() | (order < F.col("closed_o"))).drop("closed_o")
+    # Vectors meet the decisions once, at the end.
+    masks = (
+        reveals.withColumn("o", F.struct(F.col("revealed_at").alias("at"), F.concat(F.lit("reveal-"), "agent_id").alias("m")))
+        .join(first, ["round_id", "agent_id"]).filter(F.col("o") == F.col("first_o"))
+        .groupBy("round_id", "agent_id").agg(F.first("mask").alias("mask"))
     )
+    return accepted.join(masks, ["round_id", "agent_id"], "left")
 
 
 def pending_reveals(updates: DataFrame, reveals: DataFrame) -> DataFrame:

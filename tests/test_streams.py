@@ -158,6 +158,35 @@ def test_federated_rounds(spark, tmp_path):
     assert average == pytest.approx(federated.secure_average(u, r).first()["feature_vector"])
     shown = {x["verdict"] for x in out.filter("kind = 'reveal'").collect()}
     assert shown == {"revealed", "no_submission", "round_already_finalized"}
+    same(out.select("round_id", "agent_id", "message_id", "kind", "verdict"), federated.message_verdicts(u, r))
+
+
+def test_rounds_with_messages_between_each_other(spark, tmp_path):
+    """Batch and stream answer alike when submissions, reveals and repeats are mixed, and after a round has closed."""
+    import random
+
+    rng, updates, reveals = random.Random(5), [], []
+    for k in range(150):
+        at = START + timedelta(seconds=rng.randrange(40), microseconds=k)
+        agent, round_id = f"a{rng.randrange(5)}", f"r{rng.randrange(12)}"
+        vector = [float(rng.randrange(9))] * rng.choice([2, 2, 2, 1])
+        if rng.random() < 0.5:
+            updates.append((round_id, agent, vector, 1 + k % 3, 1.0, 1 + k % 2, 30, at, f"m{k:03d}"))
+        else:
+            reveals.append((round_id, agent, vector, at))
+    u = spark.createDataFrame(updates, "round_id string, agent_id string, masked_update array<double>, num_samples int, epsilon double, min_clients int, timeout_seconds int, submitted_at timestamp, message_id string")
+    r = spark.createDataFrame(reveals, "round_id string, agent_id string, mask array<double>, revealed_at timestamp")
+    u.write.parquet(str(tmp_path / "u"))
+    r.write.parquet(str(tmp_path / "r"))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    out = jobs.replay(jobs.round_events, [(read("u", u), "submitted_at"), (read("r", r), "revealed_at")], str(tmp_path / "w"))
+    batch = federated.message_verdicts(u, r)
+    same(out.select("round_id", "agent_id", "message_id", "kind", "verdict"), batch)
+    assert {x["verdict"] for x in batch.collect()} >= {"accepted", "revealed", "no_submission", "duplicate_agent_submission", "round_already_finalized"}
+    means = {x["round_id"]: x["average"] for x in out.filter("average is not null").collect()}
+    for x in federated.secure_average(u, r).collect():
+        assert x["feature_vector"] == pytest.approx(means.pop(x["round_id"]))
+    assert not means
 
 
 def test_request_cache(spark, tmp_path):
