@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from actilens.session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on; a longer single document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,15 +122,18 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = np.diff(starts, append=len(raw))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, size)
-    values = BYTE_VALUE[raw[starts[0] :]]
-    longest = int((stops - starts).max())
-    values *= _powers(longest)[np.minimum(place, longest)]
-    return mix(np.add.reduceat(values, starts - starts[0]))
+    """A 64-bit polynomial hash of each word's bytes, some words at a time: what is held for a byte is much wider."""
+    out = np.zeros(len(starts), np.uint64)
+    cuts = np.flatnonzero(np.diff(starts // STEP_BYTES, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+        begin, end = starts[a], stops[b - 1]
+        at = starts[a:b] - begin
+        place = np.arange(end - begin) - np.repeat(at, np.diff(at, append=end - begin))
+        longest = int((stops[a:b] - starts[a:b]).max())
+        values = BYTE_VALUE[raw[begin:end]]
+        values *= _powers(longest)[np.minimum(place, longest)]
+        out[a:b] = np.add.reduceat(values, at)
+    return mix(out)
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:

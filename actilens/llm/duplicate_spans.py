@@ -34,7 +34,7 @@ WINDOW, ANCHOR = 35, 8
 #: Windows in a run at most; a longer stretch with one anchor is several runs.
 LONGEST_RUN = 64
 #: Text of one set of blobs on its way to the blocks.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:

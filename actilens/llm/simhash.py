@@ -26,6 +26,8 @@ from actilens.llm.common import partitions, steps, stored
 from actilens.llm.components import components
 
 BITS, SEGMENTS, SEED = 64, 8, 42
+#: Whole rows that are taken from Arrow to Python at a time.
+ROWS = 500
 #: Shingles hashed in one numpy step.
 SLICE = 1 << 16
 #: Members of a key that one task compares with each other; more are cut into blocks, and pairs of blocks are compared.
@@ -193,7 +195,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column("row").field(text_col).to_pylist()
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(found)], ["row", "doc_id", "fp"])

@@ -29,7 +29,7 @@ from actilens.llm.tokenizing import id_type, word_ids
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
 #: Text that is tokenised in one step; more means fewer distinct pieces to look up.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 4 << 20
 BLOCKS = "file long, block long, n_docs long, n_tokens long, doc_ids array<long>, sizes array<long>, payload binary"
 
 

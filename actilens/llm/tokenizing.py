@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 from actilens.llm.common import ranges, worker_state
 
-#: Pieces that a worker remembers before it starts anew; each takes about 200 bytes.
-REMEMBERED = 1_500_000
+#: Pieces that a worker remembers before it drops the rare ones; each takes about 200 bytes.
+REMEMBERED = 300_000
 #: ASCII marks that make one pre-token behind a word; the apostrophe begins others.
 MARKS = string.punctuation.replace("'", "")
 
@@ -53,11 +53,22 @@ class WordIds(dict):
         if any(len(parts) != 1 for parts in alone.values()):
             raise ValueError("this tokenizer splits letters")
         self.coded = {c: parts[0][0] for c, parts in alone.items()}
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses, self.fresh = np.zeros(0, np.int64), []
+
+    def forget(self, wanted: int = 0) -> None:
+        """Keep at most ``wanted`` pieces, those that most steps had."""
+        least = 2
+        while (self.uses >= least).sum() > wanted:
+            least += 1
+        stay = np.flatnonzero(self.uses >= least) if wanted else np.zeros(0, np.int64)
+        names = list(self)  # in the order of their numbers
+        kept = [names[k] for k in stay.tolist()]
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
+        sizes = self.sizes[stay]
+        self.flat = self.flat[np.repeat(self.starts[stay], sizes) + ranges(sizes)]
+        self.sizes, self.starts, self.uses = sizes, np.cumsum(sizes) - sizes, self.uses[stay] // 2
         self.fresh: list[list[int]] = []
 
     def _keep(self) -> None:
@@ -65,6 +76,7 @@ class WordIds(dict):
         sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(self.fresh), np.uint32, int(sizes.sum()))])
         self.fresh = []
 
@@ -97,11 +109,12 @@ class WordIds(dict):
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number of ids of each text."""
         if len(self) > REMEMBERED:
-            self.forget()
+            self.forget(REMEMBERED // 2)
         kinds, piece, counts = distinct_pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
         known = np.fromiter(map(self.__getitem__, kinds), np.int64, len(kinds))
         place = np.insert(known[piece], np.cumsum(counts), self[None])
         self._keep()
+        self.uses[known] += 1
         sizes = self.sizes[place]
         ids = self.flat[np.repeat(self.starts[place], sizes) + ranges(sizes)]
         ends = np.cumsum(sizes)[np.cumsum(counts + 1) - 1]
