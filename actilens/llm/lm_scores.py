@@ -21,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actilens.llm.common import mix, partitions, ranges, stored
+from actilens.llm.common import mix, partitions, ranges, steps, stored
 from actilens.llm.token_files import batch_ids, encoded, public_tokenizer, token_counts
 from actilens.llm.tokenizing import id_type
 
 PRUNED, BACKOFF = 2, 0.4
 HOT = 1024
 #: Tokens of one stretch of documents, about.
-STRETCH = 2 << 20
+STRETCH = 1 << 19
+#: kind 0: what is known of a stretch; 1 and 2: its pairs of a bucket, with counts of 16 or 32 bits.
 PACKED = "kind int, bucket int, stretch long, keys binary, sizes binary, docs binary, names array<long>"
 
 
@@ -77,7 +79,7 @@ def hot_pairs(rows: DataFrame, unigrams: Unigrams, kind: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n * n, np.int64)
-        for batch in batches:
+        for batch in steps(batches, "ids", STRETCH * np.dtype(kind).itemsize):
             ids, starts = batch_ids(batch.column("ids"), kind)
             place, _, _ = _pairs(ids, starts)
             a, b = unigrams.number[ids[place - 1]], unigrams.number[ids[place]]
@@ -94,9 +96,9 @@ def hot_pairs(rows: DataFrame, unigrams: Unigrams, kind: str) -> np.ndarray:
 
 def _stretches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Table]:
     held, size = [], 0
-    for batch in batches:
+    for batch in steps(batches, "ids", STRETCH * np.dtype(kind).itemsize):
         held.append(batch)
-        size += batch.column("ids").nbytes // np.dtype(kind).itemsize
+        size += pc.sum(pc.binary_length(batch.column("ids"))).as_py() // np.dtype(kind).itemsize
         if size >= STRETCH:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
@@ -113,7 +115,7 @@ def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
         for number, table in enumerate(_stretches(batches, kind)):
             stretch = (TaskContext.get().partitionId() << 24) + number
             ids, starts = batch_ids(table.column("ids").chunk(0), kind)
-            ids = ids.astype(np.int64)
+            ids = ids.astype(np.int32)
             place, doc, first = _pairs(ids, starts)
             known = np.zeros(len(starts) - 1)
             known[np.flatnonzero(np.diff(starts))] = unigrams.alone(ids[first])
@@ -128,7 +130,7 @@ def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
             if not back:
                 continue
-            key, doc = (before[~both] << 32) | token[~both], doc[~both]
+            key, doc = (before[~both].astype(np.int64) << 32) | token[~both], doc[~both]
             order = np.argsort(key, kind="stable")  # documents stay in order inside a pair
             key, doc = key[order], doc[order]
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -143,7 +145,7 @@ def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
             cut = lambda x, kind, by: [x[p:q].astype(kind).tobytes() for p, q in zip(by, by[1:])]
             n = len(cuts) - 1
             columns = [
-                [1] * n, distinct[cuts[:-1]].tolist(), [stretch] * n, cut(key, "<i8", cuts), cut(size, "<u4", cuts),
+                [1 + (size.max() >= 1 << 16)] * n, distinct[cuts[:-1]].tolist(), [stretch] * n, cut(key, "<i8", cuts), cut(size, "<u2" if size.max() < 1 << 16 else "<u4", cuts),
                 cut(doc, wide, ends), [[len(known)]] * n,
             ]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names)
@@ -164,7 +166,7 @@ def _bucket_sums(unigrams: Unigrams):
 
         def solve(held: list[dict]) -> Iterator[pa.RecordBatch]:
             keys = [np.frombuffer(h["keys"], "<i8") for h in held]
-            sizes = [np.frombuffer(h["sizes"], "<u4").astype(np.int64) for h in held]
+            sizes = [np.frombuffer(h["sizes"], "<u2" if h["kind"] == 1 else "<u4").astype(np.int64) for h in held]
             every, kind = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(kind, np.concatenate(sizes), len(every))
             log = unigrams.pair(every >> 32, every & 0xFFFFFFFF, count)

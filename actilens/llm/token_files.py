@@ -72,7 +72,7 @@ def token_counts(rows: DataFrame, kind: str) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in steps(batches, "ids"):
             ids, _ = batch_ids(batch.column("ids"), kind)
             mine = np.bincount(ids, minlength=len(counts))
             mine[: len(counts)] += counts
