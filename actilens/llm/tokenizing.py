@@ -6,7 +6,7 @@ import os
 import re
 import string
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +16,28 @@ from actilens.llm.common import ranges, worker_state
 
 #: Pieces that a worker remembers before it drops the rare ones; each takes about 200 bytes.
 REMEMBERED = 300_000
-#: ASCII marks that make one pre-token behind a word; the apostrophe begins others.
-MARKS = string.punctuation.replace("'", "")
+#: A run of these letters is one pre-token; an ASCII mark behind it begins the next. The apostrophe may belong to a
+#: shortened word and the bar to an added token, so they stay with the letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = string.punctuation.replace("'", "").replace("|", "")
+MARK_BEHIND = f"([{LETTERS}])([{re.escape(MARKS)}])"
 
 
-def distinct_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct pieces between single spaces, which one stands at each place, and the number of pieces of each text."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
 class WordIds(dict):
     """Ids of the pieces between blanks, for a ``tokenizers`` file whose pre-tokenizer drops white space.
 
-    No token of such a tokenizer spans a blank, so the ids of a text are those of its pieces one after the other. A piece
-    goes through the library once: normaliser, pre-tokenizer and model, or the whole ``encode`` if it could hold an added
-    token. A run of Latin letters is one pre-token, and one followed by ASCII marks is that and the marks.
+    No token of such a tokenizer spans a blank, so the ids of a text are those of its pieces one after the other. Marks
+    behind a letter are pieces of their own. A piece goes through the library once while it is remembered: the model alone
+    for a run of Latin letters, else normaliser, pre-tokenizer and model, or the whole ``encode`` if it could hold an added
+    token.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -48,11 +52,13 @@ class WordIds(dict):
             raise ValueError("this tokenizer does not drop white space")
         self.end_id = end_id
         # A run of these letters is one pre-token, and each letter goes through the normaliser and splitter on its own.
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        alone = {c: self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chr(c))) for c in range(65, 256) if self.plain(chr(c))}
+        plain = re.compile(f"[{LETTERS}]").fullmatch
+        alone = {c: self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chr(c))) for c in range(65, 256) if plain(chr(c))}
         if any(len(parts) != 1 for parts in alone.values()):
             raise ValueError("this tokenizer splits letters")
         self.coded = {c: parts[0][0] for c, parts in alone.items()}
+        if any(len(self._parts(f"a{m}")) != 2 for m in MARKS):
+            raise ValueError("this tokenizer joins letters and marks")
         self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.uses, self.fresh = np.zeros(0, np.int64), []
 
@@ -80,45 +86,48 @@ class WordIds(dict):
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(self.fresh), np.uint32, int(sizes.sum()))])
         self.fresh = []
 
-    def _found(self, piece: str) -> list[int]:
-        at = self[piece]
-        if at >= len(self.sizes):
-            return self.fresh[at - len(self.sizes)]
-        return self.flat[self.starts[at] :][: self.sizes[at]].tolist()
-
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _parts(self, piece: str) -> list[str]:
+        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+
     def _ids(self, piece: str) -> list[int]:
-        if self.plain(piece):
-            return [t.id for t in self.model.tokenize(piece.translate(self.coded))]
-        word = piece.rstrip(MARKS)
-        if word != piece and self.plain(word):
-            return (self._found(word) if word in self else self._ids(word)) + self._found(piece[len(word) :])
         if any(a in piece for a in self.added):
             return self._whole(piece)
-        parts = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))
-        return [t.id for p, _ in parts for t in self.model.tokenize(p)]
-
-    def __missing__(self, piece: str | None) -> int:
-        ids = ([] if self.end_id is None else [self.end_id]) if piece is None else self._ids(piece) if piece else []
-        self.fresh.append(ids)
-        self[piece] = at = len(self.sizes) + len(self.fresh) - 1
-        return at
+        return [t.id for p in self._parts(piece) for t in self.model.tokenize(p)]
+
+    def _learn(self, kinds: pa.Array) -> None:
+        """Remember the ids of pieces that are new."""
+        tokenize, coded = self.model.tokenize, self.coded
+        plain = pc.match_substring_regex(kinds, f"^[{LETTERS}]+$").to_pylist()
+        names = kinds.to_pylist()
+        self.fresh = [[t.id for t in tokenize(n.translate(coded))] if p else self._ids(n) if n else [] for n, p in zip(names, plain)]
+        self.update(zip(names, range(len(self.sizes), len(self.sizes) + len(names))))
+        self._keep()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number of ids of each text."""
         if len(self) > REMEMBERED:
             self.forget(REMEMBERED // 2)
-        kinds, piece, counts = distinct_pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
-        known = np.fromiter(map(self.__getitem__, kinds), np.int64, len(kinds))
+        if None not in self:
+            self.fresh = [[] if self.end_id is None else [self.end_id]]
+            self[None] = len(self.sizes)
+            self._keep()
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        kinds, piece, counts = distinct_pieces(pc.replace_substring_regex(texts, MARK_BEHIND, r"\1 \2"))
+        known = np.fromiter(map(self.get, kinds.to_pylist(), repeat(-1)), np.int64, len(kinds))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self._learn(kinds.take(pa.array(new)))
         place = np.insert(known[piece], np.cumsum(counts), self[None])
-        self._keep()
         self.uses[known] += 1
         sizes = self.sizes[place]
-        ids = self.flat[np.repeat(self.starts[place], sizes) + ranges(sizes)]
-        ends = np.cumsum(sizes)[np.cumsum(counts + 1) - 1]
-        return ids, np.diff(ends, prepend=0)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[place] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 @lru_cache
@@ -134,12 +143,16 @@ def word_ids(path: str, end_id: int | None = None) -> WordIds:
     return worker_state(("word ids", path, end_id), lambda: WordIds(path, end_id))
 
 
+#: The mark that stands for a space, and what is not printable ASCII nor an ordinary letter and so may become a blank.
+JOINING = r"▁|[\x00-\x1F\x7F-\xA0]|[\p{Z}\p{C}]"
+
+
 class PieceCounts(dict):
     """Number of tokens of the pieces between single spaces, for a ``sentencepiece`` model.
 
     The library turns each space into a mark that can only begin a token, and puts one before the text, so pieces between
-    single spaces are counted on their own. That is checked on the vocabulary; a text with other runs of spaces goes
-    through the library whole.
+    single spaces are counted on their own. That is checked on the vocabulary; a text with other runs of spaces, or with
+    the mark or another blank in it, could have tokens of several marks and goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -160,8 +173,10 @@ class PieceCounts(dict):
             self.clear()
         texts = pc.fill_null(texts, "")
         kinds, piece, sizes = distinct_pieces(texts)
-        known = np.array([len(k) and self.separate and self[k] for k in kinds], np.int64)
-        blank = np.array([not k or not self.separate for k in kinds], bool)
+        # A piece that holds a mark, or a blank that the normaliser may turn into one, is not told apart from spaces.
+        whole = pc.or_(pc.equal(kinds, ""), pc.match_substring_regex(kinds, JOINING)).to_numpy(zero_copy_only=False)
+        blank = whole | (not self.separate)
+        known = np.array([0 if b else self[k] for k, b in zip(kinds.to_pylist(), blank.tolist())], np.int64)
         first = np.cumsum(sizes) - sizes
         total = np.add.reduceat(known[piece], first) if len(piece) else np.zeros(len(sizes), np.int64)
         for row in np.flatnonzero(np.add.reduceat(blank[piece], first)).tolist() if len(piece) else ():

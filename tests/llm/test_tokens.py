@@ -17,7 +17,7 @@ from actilens.llm.tokenizing import PieceCounts, WordIds
 ODD_TEXTS = [
     "", " ", "a  b", " lead", "trail ", "İstanbul ẞ ß Ǆ Σας ΟΔΟΣ", "don't they're I'LL x'd 'tis ''s", "a<|endoftext|>b <|startoftext|>",
     "é ́a\ńb", "日本語 テキスト 123 4５", "a\x1cb\x85c d e", "tab\there\r\nnew\x0b\x0c", "‘q’ “w” …a.b,c", "ﬁ Å K Ω x²³ ½ Ⅻ", "a_b __ ..!?.;",
-    "AB.'s it's, 's.", "힣각 한국어", "a <s> b</s>c <unk> d", "▁ a▁b ▁", "word### x*** y!! (z)", "ÀÖØö÷×ÿĀ",
+    "AB.'s it's, 's.", "힣각 한국어", "a <s> b</s>c <unk> d", "▁ a▁b ▁", "_▁ ßs", "a\u00a0b c\u3000d", "x.Σ ΑΣ. Aσ,Σ", "a|b<|x a.|b", "word### x*** y!! (z)", "ÀÖØö÷×ÿĀ",
 ]
 
 
@@ -45,7 +45,7 @@ def test_pieces_give_the_ids_of_the_whole_text(words):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aBé'.s t<|>\n1_—ßĀ́")), max_size=25))
+@given(st.text(alphabet=st.sampled_from(list("aBé'.s t<|>\n1_—ßĀ́▁\u00a0\u3000\u2009\tΣ,$")), max_size=25))
 def test_any_text(words, counter, text):
     assert pieces_of(words, [text]) == [words.tokenizer.encode(text, add_special_tokens=False).ids + [1]]
     assert counter.counts(pa.array([text, None]))[0] == len(counter.model.encode(text))
