@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actilens.llm import decontaminate, mixing, near_duplicates, quality, token_files
+from actilens.llm import decontaminate, mixing, quality, simhash, token_files
 from actilens.llm.common import work_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,8 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a five-word Jaccard similarity of 0.8 or more, the one with the lowest id."""
-    return near_duplicates.one_of_each(docs)
+    """One document of each group linked by SimHash fingerprints of three-word shingles at 3 or fewer differing bits, the one
+    with the lowest id."""
+    return simhash.one_of_each(docs, shingle=3, most=3)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
