@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from actilens.llm import (
-    conversations, decontaminate, duplicate_spans, importance, language, lm_scores, minhash, mixing, quality, simhash, token_counts, token_files,
+    conversations, decontaminate, duplicate_spans, importance, language, lm_scores, minhash, mixing, packing, quality, simhash, token_counts, token_files,
 )
 
 
@@ -55,6 +55,10 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest_rows(_table(spark, folder, "documents"))
 
 
+def op11_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_rows(_table(spark, folder, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.damaged_rows(_table(spark, folder, "conversations"))
 
@@ -66,7 +70,7 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_minhash_fingerprints, op2_decontamination, op3_token_files, op4_language_codes, op5_byte_quality, op6_pfair_mixing, op7_token_counts,
-        op8_backoff_scores, op9_duplicate_spans, op10_simhash_groups, op12_conversation_repair, op13_importance_resampling,
+        op8_backoff_scores, op9_duplicate_spans, op10_simhash_groups, op11_hierarchical_packing, op12_conversation_repair, op13_importance_resampling,
     )
     return {f.__name__: f for f in made}
 
