@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actilens.functions.casts import json_object, or_default
 from actilens.functions.timefns import iso_text
+from actilens.operators import limiter
 from actilens.scale import broadcast_if_small, time_chunk, with_neighbour
 from actilens.session import cut_lineage
 
@@ -23,6 +21,8 @@ STATUS_OF_ACTION = {"LOCK_USER": "LOCKED", "QUARANTINE_USER": "QUARANTINED"}
 ENGINE_USER = "SOAR_ENGINE"
 
 MAX_LITERAL_RULES = 200
+#: Rows of a key without a quiet gap beyond which the limiter cuts them into time cells.
+BUSY_ROWS = 1_000_000
 SLICE_RULES = 5_000
 HOUR = 3_600
 
@@ -205,69 +205,48 @@ def guarded_pairs(logs: DataFrame, playbooks: DataFrame) -> DataFrame:
     ).drop("activity_summary", "location", "action_target", "min_confidence", "requires_approval", "scope")
 
 
-def _admit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk sorted rows and admit at most ``limit`` per sliding window and key.
-
-    Only the last admitted times of the current key are held, whatever the length of its run.
-    """
-    current, admitted = None, deque()
-    for frame in frames:
-        if frame.empty:
-            continue
-        keys = frame["_key"].to_numpy()
-        times = frame["_micros"].to_numpy()
-        limits, windows = frame["_limit"].to_numpy(), frame["_window"].to_numpy()
-        allowed = np.zeros(len(frame), dtype=bool)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(frame)]):
-            if keys[lo] != current:
-                current, admitted = keys[lo], deque()
-            span, limit, window = times[lo:hi], limits[lo], windows[lo] * 1_000_000
-            i = 0
-            while i < len(span):
-                while admitted and admitted[0] <= span[i] - window:
-                    admitted.popleft()
-                if len(admitted) < limit:
-                    admitted.append(span[i])
-                    allowed[lo + i] = True
-                    i += 1
-                else:
-                    i = int(np.searchsorted(span, admitted[0] + window, side="left"))
-        yield frame.assign(allowed=allowed)
-
-
 def rate_limit(
-    df: DataFrame, keys: Sequence[str], limit: Column, window_seconds: Column, order: Sequence[str] = ("ts", "id")
+    df: DataFrame, keys: Sequence[str], limit: Column, window_seconds: Column, order: Sequence[str] = ("ts", "id"),
+    busy_rows: int = BUSY_ROWS, cell_rows: int = limiter.CELL_ROWS,
 ) -> DataFrame:
     """Add ``allowed``: greedy sliding-window limiter per key; refused rows use no quota.
 
     A key is first split at every quiet gap of at least one window, where all admitted rows have
     expired, so a busy key is spread over many tasks. Inside a part the rows stream through in
-    order and are never gathered.
+    order and are never gathered. A part of more than ``busy_rows`` is cut into time cells, whose
+    begin states come from composed jump tables, with the same result.
     """
+    span = F.greatest(F.coalesce(window_seconds, F.lit(1)).cast("long"), F.lit(1).cast("long")) * 1_000_000
     base = df.withColumns(
         {
             "_limit": F.greatest(F.coalesce(limit, F.lit(1)).cast("long"), F.lit(1).cast("long")),
-            "_window": F.greatest(F.coalesce(window_seconds, F.lit(1)).cast("long"), F.lit(1).cast("long")),
+            "_span": span,
             "_micros": F.unix_micros("ts"),
         }
-    ).withColumn("_cell", F.floor(F.col("_micros") / (F.col("_window") * 1_000_000)))
-    cells = base.groupBy(*keys, "_cell").agg(
-        F.min("_micros").alias("_from"), F.max("_micros").alias("_to"), F.max("_window").alias("_w")
+    ).withColumn("_window", F.floor(F.col("_micros") / F.col("_span")))
+    cells = base.groupBy(*keys, "_window").agg(
+        F.min("_micros").alias("_from"), F.max("_micros").alias("_to"), F.max("_span").alias("_w"), F.max("_limit").alias("_l"),
+        F.count("*").alias("_n"),
     )
-    by_time = Window.partitionBy(*keys).orderBy("_cell")
-    fresh = F.col("_from") - F.lag("_to").over(by_time) >= F.col("_w") * 1_000_000
-    parts = (
-        cells.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
-        .withColumn("_part", F.sum("_fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(*keys, "_cell", "_part")
+    by_time = Window.partitionBy(*keys).orderBy("_window")
+    fresh = F.col("_from") - F.lag("_to").over(by_time) >= F.col("_w")
+    begun = cells.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn(
+        "_part", F.sum("_fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     )
-    placed = base.join(parts, [*keys, "_cell"]).withColumn(
-        "_key", F.to_json(F.struct(*keys, "_part"))
-    ).drop("_cell", "_part")
-    ordered = placed.repartition("_key").sortWithinPartitions("_key", *order)
+    whole = Window.partitionBy(*keys, "_part")
+    totals = {"_n": F.sum("_n").over(whole), "_from": F.min("_from").over(whole), "_to": F.max("_to").over(whole), "_l": F.max("_l").over(whole)}
+    parts = cut_lineage(begun.withColumns(totals).select(*keys, "_window", "_part", *totals))
+    placed = base.join(parts, [*keys, "_window"]).withColumn("_key", F.to_json(F.struct(*keys, "_part"))).drop("_window", "_part")
+    busy = (F.col("_n") > busy_rows) & (F.col("_l") <= limiter.MOST)
+    plain = {"_cell": F.lit(0).cast("long"), "_entry": F.lit(False), "_last": F.array().cast("array<long>")}
+    ready = placed.where(~busy).withColumns(plain)
+    if not parts.where(busy).isEmpty():
+        ready = ready.unionByName(limiter.with_states(placed.where(busy), cell_rows))
+    helpers = ["_n", "_from", "_to", "_l"]
+    ready = ready.drop(*helpers)
+    ordered = ready.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", F.desc("_entry"), "_micros", *order)
     schema = T.StructType([*ordered.schema.fields, T.StructField("allowed", T.BooleanType())])
-    return ordered.mapInPandas(_admit, schema).drop("_key", "_micros", "_limit", "_window")
+    return ordered.mapInArrow(limiter.admit, schema).select(*df.columns, "allowed")
 
 
 def audit(logs: DataFrame, playbooks: DataFrame) -> DataFrame:
