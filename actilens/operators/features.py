@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from actilens.functions.risk import is_severe, risk_score
 from actilens.functions.text import token_count
 from actilens.functions.timefns import cyclic
-from actilens.scale import running_totals
+from actilens.scale import dictionary_join, running_totals
 
 # Scaled and encoded features, in model order.
 SCALED = [
@@ -41,7 +41,7 @@ def raw_features(logs: DataFrame, as_of: str) -> DataFrame:
 def fit_encoder(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes 0.. in sorted value order, null counted as 'unknown'.
 
-    Codes come from running totals over range buckets, so a dictionary with millions of users is
+    Codes come from running totals over ranges of values, so a dictionary with millions of users is
     numbered in many tasks.
     """
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).distinct()
@@ -53,7 +53,7 @@ def encode(df: DataFrame, encoder: DataFrame, column: str, output: str) -> DataF
     """Look codes up; unseen values get 0."""
     key = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
     table = encoder.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-    return df.withColumn("_v", key).join(table, "_v", "left").withColumn(output, F.coalesce("_code", F.lit(0))).drop("_v", "_code")
+    return dictionary_join(df.withColumn("_v", key), table, "_v").withColumn(output, F.coalesce("_code", F.lit(0))).drop("_v", "_code")
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str] = tuple(SCALED)) -> DataFrame:

@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actilens.functions.risk import risk_score
 from actilens.functions.timefns import expiry
 from actilens.functions.vectors import add, gaussian_mask, gaussian_noise, l2_clip, with_laplace
+from actilens.scale import running_totals
+from actilens.session import cut_lineage
 
 # Fallbacks of a local vector and the least number of logs it needs.
 BAD_TIME_HOUR, BAD_TIME_DAY, MIN_LOCAL_LOGS = 12, 0, 10
@@ -108,13 +110,25 @@ def first_reveals(reveals: DataFrame) -> DataFrame:
     return reveals.groupBy("round_id", "agent_id").agg(F.min_by("mask", "revealed_at").alias("mask"))
 
 
+ORDER = "struct<at:timestamp,m:string>"
+
+
+def _reveal_id() -> Column:
+    return F.concat(F.lit("reveal-"), "agent_id")
+
+
+def _order(at: str, message: Column) -> Column:
+    return F.struct(F.col(at).alias("at"), message.alias("m")).cast(ORDER)
+
+
 def _placed(updates: DataFrame, reveals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Submissions and reveals on narrow rows, without vectors, in the order ``o`` of (time, message)."""
-    kept = ["round_id", "agent_id", "message_id", "dimension", "round_min_clients", "verdict"]
-    sent = submission_verdicts(updates).select(*kept, F.struct(F.col("submitted_at").alias("at"), F.col("message_id").alias("m")).alias("o"))
+    """Submissions and reveals on narrow rows, without vectors, in the order ``o`` of (time, message); judged once and stored."""
+    kept = [
+        "round_id", "agent_id", "message_id", "submitted_at", "dimension", "round_min_clients", "expires_at", "verdict", "num_samples", "epsilon",
+    ]
+    sent = cut_lineage(submission_verdicts(updates).select(*kept, _order("submitted_at", F.col("message_id")).alias("o")))
     shown = reveals.select(
-        "round_id", "agent_id", F.concat(F.lit("reveal-"), "agent_id").alias("message_id"), F.size("mask").alias("size"),
-        F.struct(F.col("revealed_at").alias("at"), F.concat(F.lit("reveal-"), "agent_id").alias("m")).alias("o"),
+        "round_id", "agent_id", _reveal_id().alias("message_id"), F.size("mask").alias("size"), "revealed_at", _order("revealed_at", _reveal_id()).alias("o"),
     )
     accepted = sent.filter("verdict = 'accepted'").select("round_id", "agent_id", "dimension", "round_min_clients", F.col("o").alias("sent_o"))
     return sent, shown.join(accepted, ["round_id", "agent_id"], "left")
@@ -123,17 +137,39 @@ def _placed(updates: DataFrame, reveals: DataFrame) -> tuple[DataFrame, DataFram
 def _closings(sent: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``first``: when the mask of each agent was first revealed; ``closed``: when each round was complete.
 
-    A round closes with the first reveal at which as many masks are shown as submissions are in, and enough of them.
+    A round closes with the first reveal at which as many masks are shown as submissions are in, and enough of them. Both
+    numbers are running totals over ranges of time, so a round of very many agents is many tasks.
     """
     valid = shown.filter((F.col("sent_o") < F.col("o")) & (F.col("size") == F.col("dimension")))
     first = valid.groupBy("round_id", "agent_id").agg(F.min("o").alias("first_o"), F.first("round_min_clients").alias("n"))
-    step = lambda df, o, kind: df.select("round_id", F.col(o).alias("o"), F.col("n"), F.lit(kind).alias("kind"))
+    step = lambda df, o, kind: df.select("round_id", F.struct(F.col(o).alias("o"), F.lit(kind).alias("k")).alias("at"), F.col("n"))
     subs = sent.filter("verdict = 'accepted'").withColumn("n", F.col("round_min_clients"))
-    events = step(subs, "o", 0).unionByName(step(first, "first_o", 1))
-    upto = Window.partitionBy("round_id").orderBy("o", "kind")
-    counted = events.withColumns({"shown": F.sum("kind").over(upto), "in": F.sum(1 - F.col("kind")).over(upto)})
-    full = (F.col("kind") == 1) & (F.col("shown") == F.col("in")) & (F.col("in") >= F.col("n"))
-    return first.drop("n"), counted.filter(full).groupBy("round_id").agg(F.min("o").alias("closed_o"))
+    events = step(subs, "o", 0).unionByName(step(first, "first_o", 1)).groupBy("round_id", "at").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    events = events.withColumns({"shown": F.col("at.k") * F.col("rows"), "in": (1 - F.col("at.k")) * F.col("rows")})
+    counted = running_totals(events, ["round_id"], "at", ["shown", "in"])
+    full = (F.col("at.k") == 1) & (F.col("cum_shown") == F.col("cum_in")) & (F.col("cum_in") >= F.col("n"))
+    return first.drop("n"), counted.filter(full).groupBy("round_id").agg(F.min("at.o").alias("closed_o"))
+
+
+def _outcome(updates: DataFrame, reveals: DataFrame) -> DataFrame:
+    """Accepted submissions that came before their round closed, with the time ``first_o`` at which their mask was shown (null:
+    not shown). Narrow rows, stored."""
+    sent, shown = _placed(updates, reveals)
+    first, closed = _closings(sent, shown)
+    accepted = sent.filter("verdict = 'accepted'").join(closed, "round_id", "left")
+    accepted = accepted.filter(F.col("closed_o").isNull() | (F.col("o") < F.col("closed_o"))).drop("closed_o", "verdict")
+    weight = F.greatest(F.col("num_samples"), F.lit(1)).cast("double")
+    return cut_lineage(accepted.join(first, ["round_id", "agent_id"], "left").withColumn("weight", weight))
+
+
+def _with_vectors(outcome: DataFrame, updates: DataFrame, reveals: DataFrame) -> DataFrame:
+    """``outcome`` with the vector of each submission and its mask where it was shown: vectors meet the decisions once."""
+    masks = reveals.select("round_id", "agent_id", "mask", _order("revealed_at", _reveal_id()).alias("first_o"))
+    masks = masks.join(outcome.select("round_id", "agent_id", "first_o"), ["round_id", "agent_id", "first_o"], "left_semi")
+    masks = masks.groupBy("round_id", "agent_id").agg(F.first("mask").alias("mask"))
+    names = ["round_id", "agent_id", "message_id", "submitted_at"]
+    sent = updates.select(*names, "masked_update").dropDuplicates(names)
+    return outcome.join(sent, names).join(masks, ["round_id", "agent_id"], "left").drop("o", "first_o")
 
 
 def message_verdicts(updates: DataFrame, reveals: DataFrame) -> DataFrame:
@@ -161,17 +197,7 @@ def message_verdicts(updates: DataFrame, reveals: DataFrame) -> DataFrame:
 
 def revealed_updates(updates: DataFrame, reveals: DataFrame) -> DataFrame:
     """Submissions accepted before their round closed, with their mask where it was revealed; reveals alone are refused."""
-    first, closed = _closings(*_placed(updates, reveals))
-    order = F.struct(F.col("submitted_at").alias("at"), F.col("message_id").alias("m"))
-    accepted = accepted_updates(updates).join(closed, "round_id", "left")
-    accepted = accepted.filter(F.col("closed_o").isNull() | (order < F.col("closed_o"))).drop("closed_o")
-    # Vectors meet the decisions once, at the end.
-    masks = (
-        reveals.withColumn("o", F.struct(F.col("revealed_at").alias("at"), F.concat(F.lit("reveal-"), "agent_id").alias("m")))
-        .join(first, ["round_id", "agent_id"]).filter(F.col("o") == F.col("first_o"))
-        .groupBy("round_id", "agent_id").agg(F.first("mask").alias("mask"))
-    )
-    return accepted.join(masks, ["round_id", "agent_id"], "left")
+    return _with_vectors(_outcome(updates, reveals), updates, reveals)
 
 
 def pending_reveals(updates: DataFrame, reveals: DataFrame) -> DataFrame:
@@ -188,13 +214,16 @@ def refused_reveals(updates: DataFrame, reveals: DataFrame) -> DataFrame:
 
 
 def round_status(updates: DataFrame, reveals: DataFrame) -> DataFrame:
+    return _status(_outcome(updates, reveals))
+
+
+def _status(outcome: DataFrame) -> DataFrame:
     ready = (F.col("submitted") >= F.col("min_clients")) & (F.col("revealed") == F.col("submitted")) & (F.col("submitted") > 0)
     return (
-        revealed_updates(updates, reveals)
-        .groupBy("round_id")
+        outcome.groupBy("round_id")
         .agg(
             F.count("*").alias("submitted"),
-            F.count("mask").alias("revealed"),
+            F.count("first_o").alias("revealed"),
             F.first("dimension").alias("dimension"),
             F.sum("num_samples").alias("total_samples"),
             F.avg("epsilon").alias("avg_epsilon"),
@@ -212,8 +241,9 @@ def secure_average(updates: DataFrame, reveals: DataFrame, noise_sigma: float =
     The vector aggregate sums arrays inside each task, so only one vector per task and round is
     shuffled; nothing is exploded or gathered.
     """
-    status = round_status(updates, reveals).filter("finalized")
-    unmasked = revealed_updates(updates, reveals).filter(F.col("mask").isNotNull()).select(
+    outcome = _outcome(updates, reveals)
+    status = _status(outcome).filter("finalized")
+    unmasked = _with_vectors(outcome, updates, reveals).filter(F.col("mask").isNotNull()).select(
         "round_id", "weight", array_to_vector(F.zip_with("masked_update", "mask", lambda u, m: u - m)).alias("v")
     )
     means = unmasked.groupBy("round_id").agg(

@@ -99,10 +99,8 @@ def _score_steps(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.when(F.col("y_true") == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("y_true") == 1, 0).otherwise(1)).alias("neg"),
     )
-    totals = predictions.groupBy(*keys).agg(
-        F.count_if(F.col("y_true") == 1).alias("P"), F.count_if(F.coalesce(F.col("y_true") != 1, F.lit(True))).alias("N")
-    )
     cumulative = running_totals(steps, keys, "score", ["pos", "neg"], descending=True)
+    totals = cumulative.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if keys:
         return cumulative.join(totals, keys)
     return cumulative.withColumn("_t", totals.select(F.struct("P", "N")).scalar()).select("*", "_t.*").drop("_t")
@@ -184,8 +182,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     ranked = running_totals(counts, keys, value, ["n"])
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    placed = ranked.join(totals, keys) if keys else ranked.withColumn("_n", counts.agg(F.sum("n")).scalar())
+    totals = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    placed = ranked.join(totals, keys) if keys else ranked.withColumn("_n", ranked.agg(F.sum("n")).scalar())
     picks = []
     for name, q in points.items():
         position = F.lit(q) * (F.col("_n") - 1)

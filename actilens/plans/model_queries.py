@@ -65,6 +65,26 @@ def _(t):
     return federated.submission_verdicts(t.federated_updates).select("message_id", "round_id", "agent_id", "verdict")
 
 
+@query("w12_message_verdicts", f"""{FED_SQL},
+sent as (select round_id, agent_id, message_id, (submitted_at, message_id) as o, verdict, dimension, round_min_clients from judged),
+shown as (select r.round_id, r.agent_id, 'reveal-' || r.agent_id as message_id, (r.revealed_at, 'reveal-' || r.agent_id) as o, len(r.mask) as size, s.o as sent_o,
+  s.dimension, s.round_min_clients from federated_reveals r left join sent s on s.round_id = r.round_id and s.agent_id = r.agent_id and s.verdict = 'accepted'),
+first_shown as (select round_id, agent_id, min(o) as first_o, max(round_min_clients) as n from shown where sent_o < o and size = dimension group by 1, 2),
+events as (select round_id, o, 0 as kind, round_min_clients as n from sent where verdict = 'accepted' union all select round_id, first_o, 1, n from first_shown),
+counted as (select *, sum(kind) over w as shown, sum(1 - kind) over w as got from events window w as (partition by round_id order by o, kind)),
+closed as (select round_id, min(o) as closed_o from counted where kind = 1 and shown = got and got >= n group by round_id),
+opened as (select round_id, min(o) as opened_o from sent group by round_id)
+select s.round_id, s.agent_id, s.message_id, 'update' as kind, case when c.closed_o < s.o then 'round_already_finalized' else s.verdict end as verdict
+from sent s left join closed c on c.round_id = s.round_id
+union all
+select r.round_id, r.agent_id, r.message_id, 'reveal', case when p.opened_o is null or r.o < p.opened_o then 'unknown_round' when c.closed_o < r.o then 'round_already_finalized'
+  when r.sent_o is null or r.sent_o > r.o then 'no_submission' when f.first_o < r.o then 'mask_already_revealed' when r.size <> r.dimension then 'dimension_mismatch' else 'revealed' end
+from shown r left join closed c on c.round_id = r.round_id left join opened p on p.round_id = r.round_id
+left join first_shown f on f.round_id = r.round_id and f.agent_id = r.agent_id""")
+def _(t):
+    return federated.message_verdicts(t.federated_updates, t.federated_reveals)
+
+
 @query("j06_revealed_updates", f"{FED_SQL} select round_id, agent_id, message_id, weight, mask is not null as revealed from joined")
 def _(t):
     r = federated.revealed_updates(t.federated_updates, t.federated_reveals)

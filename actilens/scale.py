@@ -1,6 +1,7 @@
 """Building blocks that keep ordered work distributed when one key holds a large share of the rows.
 
-* ``range_bucket`` / ``running_totals``: global or per-key running sums without a one-task window.
+* ``running_totals``: global or per-key running sums without a one-task window.
+* ``dictionary_join``: look-ups of values of which one may hold most rows.
 * ``with_neighbour``: ``lag``/``lead`` per key, evaluated per (key, time chunk) and stitched at the seams.
 * ``segment_start``: start time of the current run of rows, evaluated the same way.
 * ``broadcast_if_small``: a broadcast hint only after the row count was checked.
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actilens.session import cut_lineage
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast when ``df`` is known to hold at most ``max_rows`` rows, else leave it alone."""
@@ -25,53 +28,48 @@ def time_chunk(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(column) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def range_bucket(df: DataFrame, value: str, n: int = 256, name: str = "_bucket") -> DataFrame:
-    """Add an order-preserving bucket number computed from about ``n`` split values.
-
-    The splits are one pseudo-random distinct value per hash class: at most ``n`` values however
-    large the table is, the same for every run, and independent of how often each value occurs.
-    """
-    picks = df.groupBy(F.pmod(F.xxhash64(value), F.lit(n)).alias("_h")).agg(
-        F.min_by(value, F.xxhash64(F.lit(7), F.col(value))).alias("_s")
-    )
-    splits = picks.agg(F.array_sort(F.collect_list("_s")).alias("_splits")).scalar()
-    return (
-        df.withColumn("_splits", splits)
-        .withColumn(name, F.size(F.filter("_splits", lambda s: s < F.col(value))))
-        .drop("_splits")
-    )
-
-
-def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], n: int = 256, descending: bool = False
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` over ``order`` within ``keys``.
 
-    ``df`` must hold one row per (keys, order); callers aggregate to distinct values first. Each
-    range bucket is summed in its own task, and only the per-bucket totals pass through a window
-    over the bucket numbers.
+    ``df`` must hold one row per (keys, order); callers aggregate to distinct values first. Rows are
+    dealt over ranges of (keys, order), as many as their bytes ask for, and stored with the number of
+    their range. Each range is summed in its own task, and only the totals of the ranges pass through
+    a window over their numbers.
     """
     keys = list(keys)
-    bucketed = range_bucket(df, order, n)
-    step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    within = F.col(order).desc() if descending else F.col(order).asc()
-    totals = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    step = F.col(order).desc() if descending else F.col(order).asc()
+    dealt = cut_lineage(df.repartitionByRange(*keys, step).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
+        *keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
     upto = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(within)
+        Window.partitionBy(*keys, "_range")
+        .orderBy(step)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = bucketed.join(offsets, [*keys, "_bucket"])
-    out = joined.select(
-        *df.columns, *[(F.sum(c).over(upto) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums]
+    summed = dealt.withColumns({f"_s_{c}": F.sum(c).over(upto) for c in sums})
+    return summed.join(offsets, [*keys, "_range"]).select(
+        *df.columns, *[(F.col(f"_s_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums]
     )
-    return out
+
+
+def dictionary_join(df: DataFrame, table: DataFrame, key: str, max_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
+    """Left join with a table of one row per ``key``, for keys of which one may hold most rows.
+
+    A table whose bytes are counted to be at most ``max_bytes`` is broadcast. A larger one is repeated for
+    each salt, and the rows of a key are dealt over the salts by the task they come from, so that a
+    frequent key is as many tasks as there are salts.
+    """
+    wide = [F.octet_length(F.col(c).cast("string")) for c in table.columns]
+    size = table.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(32)))).first()[0] or 0
+    if size <= max_bytes:
+        return df.join(F.broadcast(table), key, "left")
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def with_neighbour(

@@ -87,3 +87,56 @@ def test_masked_message_reveals_the_private_vector(spark):
     assert on.first()["epsilon"] == 1.0
     masks = [tuple(r["mask"]) for r in federated.reveal_messages(on).collect()]
     assert len(set(masks)) == 5
+
+
+def service(updates, reveals):
+    """The round service, message after message."""
+    state, out = {}, {}
+    messages = [(u[4], u[5], 0, u) for u in updates] + [(r[2], f"reveal-{r[1]}", 1, r) for r in reveals]
+    for at, message, kind, row in sorted(messages, key=lambda m: m[:3]):
+        r = state.get(row[0])
+        if kind == 0:
+            r = state.setdefault(row[0], {"at": at, "dim": len(row[2]), "need": max(1, row[6]), "agents": {}, "shown": set(), "closed": False})
+            late = (at - r["at"]).total_seconds() > max(30, row[7])
+            verdict = (
+                "round_already_finalized" if r["closed"] else "round_expired" if late else "duplicate_agent_submission" if row[1] in r["agents"]
+                else "dimension_mismatch" if len(row[2]) != r["dim"] else "accepted"
+            )
+            if verdict == "accepted":
+                r["agents"][row[1]] = row
+        elif r is None:
+            verdict = "unknown_round"
+        else:
+            verdict = (
+                "round_already_finalized" if r["closed"] else "no_submission" if row[1] not in r["agents"] else "mask_already_revealed" if row[1] in r["shown"]
+                else "dimension_mismatch" if len(row[3]) != r["dim"] else "revealed"
+            )
+            if verdict == "revealed":
+                r["shown"].add(row[1])
+                r["closed"] = len(r["shown"]) == len(r["agents"]) >= r["need"]
+        out[row[0], row[1], message, at, kind] = verdict
+    return out
+
+
+@pytest.mark.parametrize("agents,seconds", [(700, 4000), (40, 90)])
+def test_one_round_of_all_agents_in_many_tasks(spark, agents, seconds):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(agents), datetime(2026, 1, 1)
+    sent, shown = [], []
+    for k in range(agents):
+        name = "all" if k % 10 else f"r{k % 30}"
+        for copy in range(1 + (k % 13 == 0)):
+            at = start + timedelta(seconds=rng.randrange(seconds // 3), microseconds=rng.randrange(10**6))
+            sent.append((name, f"a{k}", [1.0] * (2 if k % 17 else 3), k % 5, at, f"{k}-{copy}", 3, seconds // 4))
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            shown.append((name, f"a{k}", start + timedelta(seconds=rng.randrange(seconds // 5, seconds), microseconds=rng.randrange(10**6)), [0.5] * (2 if k % 19 else 3)))
+    shown.append(("nowhere", "x", start, [1.0]))
+    u = spark.createDataFrame([(*s, 1.0) for s in sent], "round_id string, agent_id string, masked_update array<double>, num_samples long, submitted_at timestamp, message_id string, min_clients int, timeout_seconds int, epsilon double")
+    r = spark.createDataFrame(shown, "round_id string, agent_id string, revealed_at timestamp, mask array<double>")
+    want = service(sent, shown)
+    got = federated.message_verdicts(u.repartition(3), r.repartition(3)).collect()
+    bare = lambda k: (k[0], k[1], "reveal" if k[4] else "update", k[2])
+    assert sorted((x.round_id, x.agent_id, x.kind, x.message_id, x.verdict) for x in got) == sorted((*bare(k), v) for k, v in want.items())
+    assert len({v for v in want.values()}) >= 6

@@ -39,13 +39,45 @@ def test_running_totals(spark, descending):
     rng = random.Random(2)
     rows = [("a" if i % 3 else "b", float(x), rng.randint(1, 5)) for i, x in enumerate(rng.sample(range(10_000), 300))]
     df = spark.createDataFrame(rows, "k string, x double, n long")
-    out = scale.running_totals(df, ["k"], "x", ["n"], n=8, descending=descending)
+    out = scale.running_totals(df, ["k"], "x", ["n"], descending=descending)
     got = {(r["k"], r["x"]): r["cum_n"] for r in out.collect()}
     for k, x, _ in rows:
         want = sum(n for kk, y, n in rows if kk == k and (y >= x if descending else y <= x))
         assert got[(k, x)] == want
 
 
+def test_running_totals_of_many_values_in_many_ranges(spark):
+    df = spark.range(300_000, numPartitions=6).select((F.col("id") * 7919 % 300_000).alias("x"), (F.col("id") % 5).alias("n"))
+    wide = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(wide, "false")
+    try:
+        out = scale.running_totals(df, [], "x", ["n"])
+        assert len(out.inputFiles()) == 0 and out.select(F.spark_partition_id()).distinct().count() > 1
+        got = {r.x: r.cum_n for r in out.where("x % 997 = 0").collect()}
+    finally:
+        spark.conf.set(wide, "true")
+    total, want = 0, {}
+    n = {7919 * k % 300_000: k % 5 for k in range(300_000)}
+    for x in range(300_000):
+        total += n[x]
+        want[x] = total
+    assert len(got) == 301 and all(want[x] == c for x, c in got.items())
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_dictionary_join(spark, max_bytes):
+    rng = random.Random(4)
+    rows = [(k, "hot" if rng.random() < 0.8 else f"v{rng.randint(0, 40)}") for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(7)
+    table = spark.createDataFrame([("hot", 1)] + [(f"v{j}", 10 + j) for j in range(30)], "v string, code int")
+    out = scale.dictionary_join(df, table, "v", max_bytes=max_bytes)
+    code = {"hot": 1} | {f"v{j}": 10 + j for j in range(30)}
+    assert out.columns == ["v", "k", "code"]
+    assert sorted((r.k, r.v, r.code) for r in out.collect()) == sorted((k, v, code.get(v)) for k, v in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("_salt" in plan) == (not max_bytes)
+
+
 def test_segment_start(spark):
     rows, df = skewed(spark, 200)
     marked = df.withColumn("s", F.when(F.col("v") == 0, F.col("ts")))
