@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -71,6 +72,11 @@ def reveal_messages(updates: DataFrame) -> DataFrame:
     return updates.select("round_id", "agent_id", "mask")
 
 
+def _dimension(messages: DataFrame, vector: str) -> Column:
+    """Length of the vector; messages whose vector is no longer needed tell it in ``dim``."""
+    return F.col("dim") if "dim" in messages.columns else F.size(vector)
+
+
 def submission_verdicts(updates: DataFrame) -> DataFrame:
     """Accept or refuse each submission: expiry, one per agent and round, same dimension.
 
@@ -78,7 +84,7 @@ def submission_verdicts(updates: DataFrame) -> DataFrame:
     aggregates and joins are used, so a round with very many agents stays spread out.
     """
     order = F.struct("submitted_at", "message_id")
-    sized = updates.withColumn("_dim", F.size("masked_update"))
+    sized = updates.withColumn("_dim", _dimension(updates, "masked_update"))
     first = sized.groupBy("round_id").agg(
         F.min("submitted_at").alias("opened_at"),
         F.min_by("_dim", order).alias("dimension"),
@@ -128,7 +134,7 @@ def _placed(updates: DataFrame, reveals: DataFrame) -> tuple[DataFrame, DataFram
     ]
     sent = cut_lineage(submission_verdicts(updates).select(*kept, _order("submitted_at", F.col("message_id")).alias("o")))
     shown = reveals.select(
-        "round_id", "agent_id", _reveal_id().alias("message_id"), F.size("mask").alias("size"), "revealed_at", _order("revealed_at", _reveal_id()).alias("o"),
+        "round_id", "agent_id", _reveal_id().alias("message_id"), _dimension(reveals, "mask").alias("size"), "revealed_at", _order("revealed_at", _reveal_id()).alias("o"),
     )
     accepted = sent.filter("verdict = 'accepted'").select("round_id", "agent_id", "dimension", "round_min_clients", F.col("o").alias("sent_o"))
     return sent, shown.join(accepted, ["round_id", "agent_id"], "left")
@@ -151,10 +157,9 @@ def _closings(sent: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.drop("n"), counted.filter(full).groupBy("round_id").agg(F.min("at.o").alias("closed_o"))
 
 
-def _outcome(updates: DataFrame, reveals: DataFrame) -> DataFrame:
+def _outcome(sent: DataFrame, shown: DataFrame) -> DataFrame:
     """Accepted submissions that came before their round closed, with the time ``first_o`` at which their mask was shown (null:
     not shown). Narrow rows, stored."""
-    sent, shown = _placed(updates, reveals)
     first, closed = _closings(sent, shown)
     accepted = sent.filter("verdict = 'accepted'").join(closed, "round_id", "left")
     accepted = accepted.filter(F.col("closed_o").isNull() | (F.col("o") < F.col("closed_o"))).drop("closed_o", "verdict")
@@ -175,13 +180,18 @@ def _with_vectors(outcome: DataFrame, updates: DataFrame, reveals: DataFrame) ->
 def message_verdicts(updates: DataFrame, reveals: DataFrame) -> DataFrame:
     """``round_id``, ``agent_id``, ``message_id``, ``kind``, ``verdict`` of every submission and reveal, as the round service
     answers them in order of time: what comes after a round has closed is refused."""
-    sent, shown = _placed(updates, reveals)
+    return _answers(*_placed(updates, reveals)).select("round_id", "agent_id", "message_id", "kind", "verdict")
+
+
+def _answers(sent: DataFrame, shown: DataFrame) -> DataFrame:
+    """Verdicts with the time ``ts`` of the message; ``completes`` marks the reveal that closes its round."""
     first, closed = _closings(sent, shown)
     opened = sent.groupBy("round_id").agg(F.min("o").alias("opened_o"))
     after = F.col("closed_o").isNotNull() & (F.col("o") > F.col("closed_o"))
-    names = ["round_id", "agent_id", "message_id"]
+    names = ["round_id", "agent_id", "message_id", F.col("o.at").alias("ts")]
     told = sent.join(closed, "round_id", "left").select(
-        *names, F.lit("update").alias("kind"), F.when(after, "round_already_finalized").otherwise(F.col("verdict")).alias("verdict")
+        *names, F.lit("update").alias("kind"), F.when(after, "round_already_finalized").otherwise(F.col("verdict")).alias("verdict"),
+        F.lit(False).alias("completes"),
     )
     verdict = (
         F.when(F.col("opened_o").isNull() | (F.col("o") < F.col("opened_o")), "unknown_round")
@@ -192,12 +202,24 @@ def message_verdicts(updates: DataFrame, reveals: DataFrame) -> DataFrame:
         .otherwise("revealed")
     )
     answered = shown.join(first, ["round_id", "agent_id"], "left").join(closed, "round_id", "left").join(opened, "round_id", "left")
-    return told.unionByName(answered.select(*names, F.lit("reveal").alias("kind"), verdict.alias("verdict")))
+    completes = F.coalesce((verdict == "revealed") & (F.col("o") == F.col("closed_o")), F.lit(False))
+    return told.unionByName(answered.select(*names, F.lit("reveal").alias("kind"), verdict.alias("verdict"), completes.alias("completes")))
+
+
+def round_results(updates: DataFrame, reveals: DataFrame, since: datetime) -> DataFrame:
+    """``message_verdicts`` with ``ts`` and ``completes``, and the ``average`` of the round with the message that completes it, if
+    that came at ``since`` or later. Messages of rounds that have closed before need no vectors, only ``dim``."""
+    placed = _placed(updates, reveals)
+    answers = cut_lineage(_answers(*placed))
+    done = answers.where(F.col("completes") & (F.col("ts") >= F.lit(since))).select("round_id").distinct()
+    mine = [df.join(done, "round_id", "left_semi") for df in (updates, reveals, *placed)]
+    means = _means(_outcome(*mine[2:]), *mine[:2]).select("round_id", F.lit(True).alias("completes"), F.col("feature_vector").alias("average"))
+    return answers.join(means, ["round_id", "completes"], "left")
 
 
 def revealed_updates(updates: DataFrame, reveals: DataFrame) -> DataFrame:
     """Submissions accepted before their round closed, with their mask where it was revealed; reveals alone are refused."""
-    return _with_vectors(_outcome(updates, reveals), updates, reveals)
+    return _with_vectors(_outcome(*_placed(updates, reveals)), updates, reveals)
 
 
 def pending_reveals(updates: DataFrame, reveals: DataFrame) -> DataFrame:
@@ -214,7 +236,7 @@ def refused_reveals(updates: DataFrame, reveals: DataFrame) -> DataFrame:
 
 
 def round_status(updates: DataFrame, reveals: DataFrame) -> DataFrame:
-    return _status(_outcome(updates, reveals))
+    return _status(_outcome(*_placed(updates, reveals)))
 
 
 def _status(outcome: DataFrame) -> DataFrame:
@@ -235,21 +257,21 @@ def _status(outcome: DataFrame) -> DataFrame:
     )
 
 
+def _means(outcome: DataFrame, updates: DataFrame, reveals: DataFrame) -> DataFrame:
+    unmasked = _with_vectors(outcome, updates, reveals).filter(F.col("mask").isNotNull()).select(
+        "round_id", "weight", array_to_vector(F.zip_with("masked_update", "mask", lambda u, m: u - m)).alias("v")
+    )
+    return unmasked.groupBy("round_id").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("weight"))).alias("feature_vector"))
+
+
 def secure_average(updates: DataFrame, reveals: DataFrame, noise_sigma: float = 0.0, seed: int = 42) -> DataFrame:
     """Weighted mean of unmasked updates per finished round.
 
     The vector aggregate sums arrays inside each task, so only one vector per task and round is
     shuffled; nothing is exploded or gathered.
     """
-    outcome = _outcome(updates, reveals)
-    status = _status(outcome).filter("finalized")
-    unmasked = _with_vectors(outcome, updates, reveals).filter(F.col("mask").isNotNull()).select(
-        "round_id", "weight", array_to_vector(F.zip_with("masked_update", "mask", lambda u, m: u - m)).alias("v")
-    )
-    means = unmasked.groupBy("round_id").agg(
-        vector_to_array(Summarizer.mean(F.col("v"), F.col("weight"))).alias("feature_vector")
-    )
-    out = status.join(means, "round_id")
+    outcome = _outcome(*_placed(updates, reveals))
+    out = _status(outcome).filter("finalized").join(_means(outcome, updates, reveals), "round_id")
     if noise_sigma > 0:
         noisy = F.transform("feature_vector", lambda x, i: x + gaussian_noise(F.col("round_id"), i, noise_sigma, seed))
         out = out.withColumn("feature_vector", noisy)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from actilens.plans import rule_queries, sequence_queries
 from actilens.plans.model_queries import FED_SQL
 from actilens.plans.registry import query
 from actilens.sources.views import StreamTables
-from actilens.streaming import jobs
+from actilens.streaming import jobs, ordered
 
 
-#: Time cells of the replays: they need no early results, and fewer cells are fewer state accesses.
+#: Time cells of the replays with keyed state: they need no early results, and fewer cells are fewer state accesses.
 DAY = 86400
+#: Allowed lateness of a replay of stored tables, whose files come in any order.
+ANY_ORDER = timedelta(days=36500)
 
 
 def _streamed(t, *names: str) -> StreamTables:
@@ -29,6 +33,11 @@ def _replay(build, *sources):
     return jobs.replay(build, pairs, jobs.work_folder(pairs[0][0].sparkSession))
 
 
+def _in_order(stream, step):
+    """Run to the end of a stored source through a batch operator."""
+    return ordered.replay(stream, step, jobs.work_folder(stream.sparkSession), ANY_ORDER)
+
+
 @query("s05_log_stream", "select id, ts, user_name, activity_type, risk_level from logs_core")
 def _(t):
     s = _streamed(t, "events")
@@ -70,15 +79,17 @@ def _(t):
 @query("t06_stream_limiter", f"{rule_queries.LIMIT_SQL} select user_name, id, allowed from walk")
 def _(t):
     s = _streamed(t, "events")
-    limited = lambda logs: jobs.limited(logs, ["user_name"], F.lit(2), F.lit(86400), DAY)
-    return _replay(limited, s.logs_slim.select("id", "ts", "user_name")).select("user_name", "id", "allowed")
+    step = ordered.limiter(["user_name"], F.lit(2), F.lit(86400))
+    return _in_order(s.logs_slim.select("id", "ts", "user_name"), step).select("user_name", "id", "allowed")
 
 
 @query("t07_stream_audit", f"{rule_queries.AUDIT_SQL} select id as source_log_id, playbook_id, status, reason from audited")
 def _(t):
     s = _streamed(t, "events")
-    parts = [_replay(lambda logs, n=n: jobs.stream_audit(logs, t.playbooks, DAY)[n], s.logs) for n in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("source_log_id", "playbook_id", "status", "reason")
+    settled, waiting = jobs.audit_parts(s.logs, t.playbooks)
+    step = ordered.limiter(["playbook_id", "t"], F.col("rate_limit_count"), F.col("rate_limit_window_seconds"), ["ts", "id", "playbook_id"])
+    rows = _run(settled).drop("_batch").unionByName(jobs.decided(_in_order(waiting, step)))
+    return rows.select("source_log_id", "playbook_id", "status", "reason")
 
 
 @query("t08_inactivity_events", """
@@ -95,14 +106,15 @@ select user_name, ts, seq, length(c) as length, h as hash, printf('Clipboard upd
   select *, sha256(c) as h, lag(sha256(c)) over (partition by user_name order by ts, seq) as prev from (
     select user_name, ts, seq, trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as c from clipboard)) where prev is null or prev <> h""")
 def _(t):
-    return _replay(lambda c: jobs.clipboard_events(c, cell_seconds=DAY), _streamed(t, "conversations").clipboard).drop("_batch")
+    readings = _streamed(t, "conversations").clipboard.select("user_name", "ts", "seq", "content")
+    return _in_order(readings, ordered.clipboard()).select("user_name", "ts", "seq", "length", "hash", "description")
 
 
 @query("t10_round_verdicts", f"""{FED_SQL}
 select message_id, round_id, agent_id, verdict from judged""")
 def _(t):
     s = _streamed(t, "embeddings")
-    out = _replay(lambda u, r: jobs.round_events(u, r, DAY), (s.federated_updates, "submitted_at"), (s.federated_reveals, "revealed_at"))
+    out = _in_order(ordered.round_messages(s.federated_updates, s.federated_reveals), ordered.rounds())
     return out.filter(F.col("kind") == "update").select("message_id", "round_id", "agent_id", "verdict")
 
 
@@ -113,7 +125,7 @@ select s.round_id, p.pos, p.value from status s join (
 on p.round_id = s.round_id where s.finalized""")
 def _(t):
     s = _streamed(t, "embeddings")
-    out = _replay(lambda u, r: jobs.round_events(u, r, DAY), (s.federated_updates, "submitted_at"), (s.federated_reveals, "revealed_at")).filter(F.col("average").isNotNull())
+    out = _in_order(ordered.round_messages(s.federated_updates, s.federated_reveals), ordered.rounds()).filter(F.col("average").isNotNull())
     return out.select("round_id", F.posexplode("average").alias("pos", "value")).withColumn("value", F.round("value", 9))
 
 
@@ -124,7 +136,7 @@ TTL_SQL = rule_queries.limiter_sql("select id, ts, activity_type || props as req
 def _(t):
     s = _streamed(t, "events")
     requests = s.logs_core.select("id", "ts", F.concat("activity_type", "props").alias("request"))
-    return _replay(lambda r: jobs.first_requests(r, "request", cell_seconds=DAY), requests).select("request", "id")
+    return _in_order(requests, ordered.limiter(["request"], F.lit(1), F.lit(300))).filter("allowed").select("request", "id")
 
 
 @query("t12_metric_history", "select host, ts, cpu_usage from metric_points where ts >= timestamp '2024-01-29 12:00:00'")
@@ -151,5 +163,6 @@ def _(t):
 
 @query("t14_streamed_transitions", rule_queries.TRANSITIONS_SQL)
 def _(t):
-    pairs = _replay(lambda logs: jobs.activity_pairs(logs, DAY), _streamed(t, "events").logs_slim)
+    steps = _streamed(t, "events").logs_slim.select("user_name", "ts", "id", "activity_type")
+    pairs = _in_order(steps, ordered.transitions())
     return pairs.groupBy("activity_type", "next_activity").agg(F.count("*").alias("n"))

@@ -99,23 +99,36 @@ def first_requests(requests: DataFrame, key: str, ttl_seconds: int = 300, cell_s
     return out.filter("allowed").drop("allowed")
 
 
-def stream_audit(logs: DataFrame, playbooks: DataFrame, cell_seconds: int = CELL_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(settled, limited) audit rows of a log stream; together they are the batch audit."""
+def audit_parts(logs: DataFrame, playbooks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matched pairs of a log stream: audit rows of those that are settled, and the pairs that wait for the limiter, which is
+    keyed by ``playbook_id`` and ``t``."""
     pairs = rules.guarded_pairs(logs, playbooks)
-    columns = [
+    waiting = pairs.filter(F.col("status").isNull()).withColumn("t", or_default(F.col("target"), "-"))
+    return _audit_rows(pairs.filter(F.col("status").isNotNull())), waiting
+
+
+def _audit_rows(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         F.sha2(F.concat_ws("|", "playbook_id", "id"), 256).alias("audit_id"), "ts", "playbook_id", "playbook_name",
         F.col("id").alias("source_log_id"), "user_name", "action_type", "target", "status", "reason", "risk_level", "confidence",
-    ]
-    settled = pairs.filter(F.col("status").isNotNull()).select(*columns)
-    waiting = pairs.filter(F.col("status").isNull()).withColumn("t", or_default(F.col("target"), "-"))
-    decided = limited(waiting, ["playbook_id", "t"], F.col("rate_limit_count"), F.col("rate_limit_window_seconds"), cell_seconds)
-    verdict = decided.withColumns(
+    )
+
+
+def decided(limited_pairs: DataFrame) -> DataFrame:
+    """Audit rows of pairs that the limiter has ``allowed`` or not."""
+    return _audit_rows(limited_pairs.withColumns(
         {
             "status": F.when(F.col("allowed"), "executed").otherwise("rate_limited"),
             "reason": F.when(F.col("allowed"), "executed_successfully").otherwise("rate_limit_exceeded"),
         }
-    )
-    return settled, verdict.select(*columns)
+    ))
+
+
+def stream_audit(logs: DataFrame, playbooks: DataFrame, cell_seconds: int = CELL_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(settled, limited) audit rows of a log stream; together they are the batch audit."""
+    settled, waiting = audit_parts(logs, playbooks)
+    keys = ["playbook_id", "t"]
+    return settled, decided(limited(waiting, keys, F.col("rate_limit_count"), F.col("rate_limit_window_seconds"), cell_seconds))
 
 
 def _keyed(df: DataFrame, key: str, value: Column, identity: str) -> DataFrame:
