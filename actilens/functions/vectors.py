@@ -21,9 +21,11 @@ def l2_clip(vector: Column, clip_norm: float = 10.0) -> Column:
 
 
 def _uniform(key: Column, position: Column, seed: int, stream: int) -> Column:
-    """A number in (0, 1) fixed by key, position and seed, so a recomputed task draws the same noise."""
-    h = F.xxhash64(F.lit(seed), F.lit(stream), key, position)
-    return (F.pmod(h, F.lit(2**52)).cast("double") + 0.5) / float(2**52)
+    """A number in (0, 1) from the first 52 bits of SHA-256 over seed, stream, key and position: a draw is a function of its
+    counter, so a recomputed task, another engine or another machine gets the same."""
+    counter = F.concat_ws("|", F.lit(str(seed)), F.lit(str(stream)), key, position.cast("string"))
+    bits = F.conv(F.substring(F.sha2(counter, 256), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(2**52)
 
 
 def laplace_noise(key: Column, position: Column, scale: float, seed: int) -> Column:

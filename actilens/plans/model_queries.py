@@ -128,14 +128,39 @@ def _(t):
     return t.raw("embeddings").select("vec_id", F.posexplode(clipped).alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
-@query("h23_laplace_noise")
+def draw_sql(seed: int, stream: int, key: str) -> str:
+    """The draw of a counter, as the vector functions make it; ``pos`` is the position."""
+    return f"((('0x' || substr(sha256('{seed}|{stream}|' || {key} || '|' || pos), 1, 13))::bigint) + 0.5) / {2**52}.0"
+
+
+#: Local vectors clipped to norm 10, with Laplace noise of scale 1.
+PRIVATE_SQL = f"""
+with means as (select user_name as agent_id, [avg(hour(ts)), avg(isodow(ts) - 1),
+    avg(case risk_level when 'MEDIUM' then 5.0 when 'HIGH' then 8.0 when 'CRITICAL' then 10.0 else 1.0 end)] as v, count(*) as num_samples
+  from logs_core group by user_name having count(*) >= 10),
+norms as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from means),
+clipped as (select agent_id, num_samples, unnest(v) * case when n > 10 then 10 / n else 1 end as x, generate_subscripts(v, 1) - 1 as pos from norms),
+drawn as (select *, {draw_sql(7, 1, "agent_id")} - 0.5 as u from clipped),
+private as (select agent_id, num_samples, pos, x - sign(u) * ln(1 - 2 * abs(u)) as value from drawn)"""
+
+
+@query("h23_laplace_noise", f"{PRIVATE_SQL} select agent_id, pos, round(value, 7) as value from private")
 def _(t):
-    return federated.privatised(federated.local_vectors(t.logs_slim), federated.Privacy(), seed=7).select("agent_id", "dp_vector")
+    noisy = federated.privatised(federated.local_vectors(t.logs_slim), federated.Privacy(), seed=7)
+    return noisy.select("agent_id", F.posexplode("dp_vector").alias("pos", "value")).withColumn("value", F.round("value", 7))
+
+
+MASK_KEY = "'round-1|' || agent_id"
 
 
-@query("h24_masked_updates")
+@query("h24_masked_updates", f"""{PRIVATE_SQL},
+masks as (select *, sqrt(-2 * ln({draw_sql(8, 2, MASK_KEY)})) * cos(2 * pi() * ({draw_sql(8, 3, MASK_KEY)})) as mask from private)
+select 'round-1' as round_id, agent_id, pos, round(value + mask, 7) as masked, round(mask, 7) as mask, num_samples, 1.0::double as epsilon from masks""")
 def _(t):
-    return federated.masked_updates(federated.local_vectors(t.logs_slim), "round-1", federated.Privacy(), seed=7)
+    out = federated.masked_updates(federated.local_vectors(t.logs_slim), "round-1", federated.Privacy(), seed=7)
+    each = F.posexplode(F.arrays_zip("masked_update", "mask")).alias("pos", "x")
+    flat = out.select("round_id", "agent_id", each, "num_samples", "epsilon")
+    return flat.select("round_id", "agent_id", "pos", F.round("x.masked_update", 7).alias("masked"), F.round("x.mask", 7).alias("mask"), "num_samples", "epsilon")
 
 
 # --- features ----------------------------------------------------------------------------------

@@ -74,12 +74,16 @@ class Ordered:
         there = fresh.unionByName(self._left("waiting", number - 1))
         passed = F.col("ts") < F.lit(clock)
         there.where(~passed).write.mode("overwrite").parquet(self._path("waiting", number))
+        state = self.spark.createDataFrame([(clock, late)], "clock timestamp, late long")
+        state.coalesce(1).write.mode("overwrite").parquet(self._path("clock", number))
+        if clock == since:  # the clock stands still, nothing is closed
+            self._left("carried", number - 1).write.mode("overwrite").parquet(self._path("carried", number))
+            self._remove(number - 2)
+            return
         rows = there.where(passed).unionByName(self._left("carried", number - 1))
         results = cut_lineage(self.step.run(rows, since))
         self.step.fresh(results, since).write.mode("overwrite").parquet(self._path("out", number))
         self.step.carry(rows, results, clock).select(self.schema.names).write.mode("overwrite").parquet(self._path("carried", number))
-        state = self.spark.createDataFrame([(clock, late)], "clock timestamp, late long")
-        state.coalesce(1).write.mode("overwrite").parquet(self._path("clock", number))
         self._remove(number - 2)
 
 
