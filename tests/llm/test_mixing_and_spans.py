@@ -17,30 +17,45 @@ from tests.llm.conftest import DOCS, prose
 from tests.llm.test_fingerprints import plain_components, plain_fingerprint
 
 
-def plain_period(share):
-    """Earliest deadline first, slot by slot."""
-    names, done, picks = sorted(share), collections.Counter(), []
-    period = sum(share.values())
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // share[s]), s) for s in names if done[s] < share[s] and done[s] * period // share[s] <= t]
+def plain_run(weights, slots):
+    """Earliest deadline first on exact fractions, slot by slot."""
+    total, done, picks = sum(weights.values()), collections.Counter(), []
+    for t in range(slots):
+        ready = [(-(-(done[s] + 1) * total // w), s) for s, w in sorted(weights.items()) if done[s] * total // w <= t]
         picks.append(min(ready)[1])
         done[picks[-1]] += 1
     return picks
 
 
-@pytest.mark.parametrize("share", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 50, **{f"s{k}": 1 for k in range(50)}}, {"a": 13, "b": 11, "c": 5, "d": 3}])
-def test_one_period(spark, share):
-    table = mixing.period_table(spark.createDataFrame(list(share.items()), "s string, share int")).collect()
-    picks = plain_period(share)
-    assert {r.s: list(r.offsets) for r in table} == {s: [t for t, p in enumerate(picks) if p == s] for s in share}
-    period, served = sum(share.values()), collections.Counter()
-    for t, s in enumerate(picks, 1):
-        served[s] += 1
-        assert all(abs(served[x] - t * share[x] / period) < 1 for x in share)
+#: Targets that no short period holds: nearly equal thirds, one far below a thousandth, many small ones beside a large one.
+TARGETS = [
+    {"a": 1.0}, {"a": 0.33374, "b": 0.33306, "c": 0.33320}, {"a": 0.0003, "b": 0.4, "c": 0.5997}, {"a": 0.5, **{f"s{k}": 0.5 / 37 + k * 1e-7 for k in range(37)}},
+    {"a": 13.1, "b": 11.7, "c": 5.3, "d": 3.9, "e": 0.61},
+]
+
+
+@pytest.mark.parametrize("number,cells", [(0, 7), (1, 50), (1, 10**6), (2, 5000), (3, 101), (4, 64), (4, 333)])
+def test_every_source_is_less_than_a_block_off_its_target(spark, number, cells):
+    target, slots = TARGETS[number], 12_000 if number == 2 else 700
+    counts = [(s, max(1, int(slots * w / sum(target.values())))) for s, w in target.items()]
+    given = spark.createDataFrame([(s, w) for s, w in target.items()], "source string, weight double")
+    weighed = mixing.whole_weights(spark.createDataFrame([("=" + s, n) for s, n in counts], "s string, n long"), given)
+    table = mixing.slot_table(weighed, block_docs=1, cell_slots=cells).collect()
+    picks = {r.slot: r for r in table}
+    assert sorted(picks) == list(range(len(table))) and len(table) >= 0.9 * slots
+    served, whole = collections.Counter(), sum(target.values())
+    for t in range(len(table)):
+        r = picks[t]
+        assert r.block == served[r.s] and r.block * r.total // r.weight <= t < -(-(r.block + 1) * r.total // r.weight)
+        served[r.s] += 1
+        assert all(abs(served["=" + s] - (t + 1) * w / whole) < 1 for s, w in target.items())
+    if cells > len(table):
+        exact = {r.s: r.weight for r in weighed.collect()}
+        assert [picks[t].s for t in range(len(table))] == plain_run(exact, len(table))
 
 
 def test_schedule_of_messy_and_empty_tables(messy, messy_rows, no_docs):
-    rows = mixing.schedule(messy, block_docs=4, period=20).select("row.doc_id", "row.source", "share", "period", "block", "release", "deadline", "slot", "place").collect()
+    rows = mixing.schedule(messy, block_docs=4, cell_slots=8).select("row.doc_id", "row.source", "block", "release", "deadline", "slot", "place").collect()
     assert sorted((str(r.doc_id), str(r.source)) for r in rows) == sorted((str(r[0]), str(r[3])) for r in messy_rows)
     blocks = collections.defaultdict(list)
     for r in rows:
@@ -56,15 +71,14 @@ def test_schedule_of_messy_and_empty_tables(messy, messy_rows, no_docs):
 
 def test_given_weights_hold_until_a_source_ends(spark):
     docs = spark.createDataFrame([(k, "t", "abc"[k % 3], None, 1) for k in range(1500)], "doc_id long, text string, source string, lang string, n_chars long")
-    weights = spark.createDataFrame([("a", 6.0), ("b", 3.0), ("c", 1.0), ("nowhere", 5.0)], "source string, weight double")
-    rows = mixing.schedule(docs, weights, block_docs=5).select("row.source", "slot", "share", "period").collect()
-    share = {r.source: r.share / r.period for r in rows}
-    assert abs(share["a"] - 0.6) < 0.01 and abs(share["c"] - 0.1) < 0.01
+    target = {"a": 0.6, "b": 0.3, "c": 0.1}
+    weights = spark.createDataFrame([*[(s, 10 * w) for s, w in target.items()], ("nowhere", 5.0)], "source string, weight double")
+    rows = mixing.schedule(docs, weights, block_docs=5, cell_slots=40).select("row.source", "slot").collect()
     order = sorted((r.slot, r.source) for r in rows)
     until = min(max(s for s, x in order if x == source) for source in "abc")
     for t in range(1, until, 7):
         served = collections.Counter(x for s, x in order if s < t)
-        assert all(abs(served[x] / 5 - t * share[x]) < 1 for x in "abc")
+        assert all(abs(served[x] / 5 - t * target[x]) < 1 for x in "abc")
 
 
 def test_mixed_files_hold_the_schedule(spark, messy, tmp_path):
