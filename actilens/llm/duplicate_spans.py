@@ -4,17 +4,19 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A passage counts as duplicate whe
 other place too, in any document. Each window is routed by the lowest hash among its 8-word runs, which is the same for
 every occurrence; neighbouring windows mostly share it and travel as one run. A bucket of these hashes is a reference
 block: it holds every run of the whole corpus that can match inside it, indexed by window. Each run is factored greedily
-against the block: a factor goes on while the next window continues at the next place of the reference, and where it
-ends, the window that straddles the boundary is looked up on its own, so no repeated window is missed. Factors that touch
-are one span.
+against the block: a factor begins where the index has an equal window at another place, goes on while the next
+window equals the next place of the reference, and where it ends, the window that straddles the boundary is looked up on
+its own, so no repeated window is missed. Factors that touch are one span.
 
 A run that a task sees many times goes to its block once, with a mark, and what the block finds comes back under the
 run's own hash and meets the occurrences by a join that AQE may split; so a passage shared by a third of all documents
-is no hot task. Windows are compared by 64-bit hashes of 64-bit word hashes.
+is no hot task. Windows are compared by a 64-bit hash of their words and the 64-bit hash of their anchor, within a block of
+few anchors: at 10 ** 13 windows of about 100 under an anchor, less than one unequal pair is expected to pass.
 
 Defined cases: null text has no words; a text shorter than a window loses nothing; repeated rows are places of their own,
 so all their windows are duplicate; null and repeated ids keep their rows (rows are told apart by a hash of id and text);
-windows overlapping themselves count as other places; an empty table gives an empty result; other columns are not looked
+windows overlapping themselves count as other places; a very long text is worked on at once, with about 40 bytes for each of
+its words; an empty table gives an empty result; other columns are not looked
 at.
 """
 
@@ -87,34 +89,51 @@ def _blobs(window: int, blocks: int):
             at = np.concatenate([[0], np.cumsum(size)])
             cut = lambda a, kind, by: pa.array([a[x:y].astype(kind).tobytes() for x, y in zip(by, by[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[cuts[:-1]].astype(np.int32)), cut(windows, "<u8", at[cuts]), cut(size, "u1", cuts), cut(found["key"][one], "<i8", cuts), cut(times > 1, "u1", cuts)],
-                ["block", "windows", "sizes", "keys", "many"],
+                [
+                    pa.array(block[cuts[:-1]].astype(np.int32)), cut(windows, "<u8", at[cuts]), cut(size, "u1", cuts), cut(found["key"][one], "<i8", cuts),
+                    cut(times > 1, "u1", cuts), cut(found["anchor"][one], "<u8", cuts),
+                ],
+                ["block", "windows", "sizes", "keys", "many", "anchors"],
             )
 
     return run
 
 
-def parse(windows: np.ndarray, sizes: np.ndarray, keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sources(windows: np.ndarray, run: np.ndarray, anchors: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The reference index: for each window of a block the place of an equal one, or -1.
+
+    Windows are equal if their hashes and the hashes of their anchors are; equal hashes under different anchors are told apart.
+    The first of several refers to the second and the others to the first. A run that stands for several
+    occurrences refers to its other occurrence, which is itself.
+    """
+    order = np.argsort(windows, kind="stable")
+    alike = windows[order[1:]] == windows[order[:-1]]
+    if (alike & (anchors[run[order[1:]]] != anchors[run[order[:-1]]])).any():
+        order = np.lexsort((windows, anchors[run]))
+        alike = (windows[order[1:]] == windows[order[:-1]]) & (anchors[run[order[1:]]] == anchors[run[order[:-1]]])
+    head = np.flatnonzero(np.concatenate([[True], ~alike]))
+    group = np.diff(head, append=len(order))
+    found = np.full(len(windows), -1, np.int64)
+    found[order] = np.where(np.repeat(group, group) > 1, np.repeat(order[head], group), -1)
+    twice = head[group > 1]
+    found[order[twice]] = order[twice + 1]
+    own = np.flatnonzero((found < 0) & (many[run] > 0))
+    found[own] = own
+    return found
+
+
+def parse(windows: np.ndarray, sizes: np.ndarray, keys: np.ndarray, many: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factor the runs of a reference block against it: (key, first window, windows) of the spans of each distinct run."""
     run = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(windows, kind="stable")
-    ranked = windows[order]
-    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    group = np.diff(head, append=len(ranked))
-    places = np.add.reduceat(1 + many[run[order]].astype(np.int64), head)
-    # The place in the block that a window refers to: the first with the same words, or for that one the second.
-    source = np.empty(len(windows), np.int64)
-    source[order] = np.repeat(order[head], group)
-    twice = np.flatnonzero(group > 1)
-    source[order[head[twice]]] = order[head[twice] + 1]
-    repeated = np.empty(len(windows), bool)
-    repeated[order] = np.repeat(places > 1, group)
-    # A factor ends with its run, or where the reference does not go on; then the next window has its own source.
-    fresh = np.ones(len(windows), bool)
-    fresh[1:] = (run[1:] != run[:-1]) | (source[1:] != source[:-1] + 1) | (repeated[1:] != repeated[:-1])
-    begin = np.flatnonzero(fresh)
+    source = sources(windows, run, anchors, many)
+    # A factor goes on while the next window is equal to the next place of the reference; where it ends, in its own run or in
+    # that of the reference, the window over the boundary is looked up on its own.
+    goes_on = np.zeros(len(windows), bool)
+    goes_on[1:] = (run[1:] == run[:-1]) & (source[:-1] >= 0) & (source[1:] == source[:-1] + 1) & (run[source[1:]] == run[source[:-1]])
+    begin = np.flatnonzero(~goes_on)
     size = np.diff(begin, append=len(windows))
-    begin, size = begin[repeated[begin]], size[repeated[begin]]
+    # A factor of one window or more is at least as long as a duplicate must be.
+    begin, size = begin[source[begin] >= 0], size[source[begin] >= 0]
     # Factors that touch are one span.
     joined = np.ones(len(begin), bool)
     joined[1:] = (begin[1:] != begin[:-1] + size[:-1]) | (run[begin[1:]] != run[begin[:-1]])
@@ -137,12 +156,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now = None
 
     def solve() -> pa.RecordBatch:
-        parts = [np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), ("<u8", "u1", "<i8", "u1"))]
-        found = parse(parts[0], parts[1].astype(np.int64), parts[2], parts[3])
+        parts = [np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), ("<u8", "u1", "<i8", "u1", "<u8"))]
+        found = parse(parts[0], parts[1].astype(np.int64), *parts[2:])
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["key", "at", "n"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("block", "windows", "sizes", "keys", "many")]
+        columns = [batch.column(c).to_pylist() for c in ("block", "windows", "sizes", "keys", "many", "anchors")]
         for block, *blob in zip(*columns):
             if block != now and held:
                 yield solve()
@@ -172,7 +191,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``rid``, ``first`` and ``last``: word ranges covered by duplicate windows, not yet merged, of rows ``rid``, ``text``."""
     blocks = partitions(rows.sparkSession)
-    packed = rows.select("text").mapInArrow(_blobs(window, blocks), "block int, windows binary, sizes binary, keys binary, many binary")
+    packed = rows.select("text").mapInArrow(_blobs(window, blocks), "block int, windows binary, sizes binary, keys binary, many binary, anchors binary")
     dealt = packed.repartitionById(blocks, F.col("block")).sortWithinPartitions("block")
     factors = dealt.mapInArrow(_parsed, "key long, at long, n long")
     places = rows.select("rid", "text").mapInArrow(_occurrences(window), "key long, rid long, word long")

@@ -1,18 +1,21 @@
 """Stupid-backoff scores of documents, computed relationally over n-gram counts of the whole corpus.
 
 Tokens come from a public tokenizer, so unigram counts have as many rows as its vocabulary and every task may hold them.
-A token t after p scores count(p, t) / count(p) where the pair occurs at least ``PRUNED`` times in the corpus, and else
-``BACKOFF`` * count(t) / (all tokens); the first token of a document scores count(t) / (all tokens). A document's score is
-the sum of the natural logs.
+A token t after p scores count(p, t) / count(p) where the pair occurs, and else ``BACKOFF`` * count(t) / (all tokens); the
+first token of a document scores count(t) / (all tokens). All counts are kept. A document is scored by the rest of the
+corpus: its own occurrences are taken off count(p, t), as a pair that only it holds would otherwise always be certain; a copy
+of it is another document. ``leave_out`` can be turned off. The score is the mean natural log of a token.
 
-Pair counts are partitioned by hash of the pair. Each task sends, for every bucket, the distinct pairs of a stretch of
+Pair counts are partitioned by hash of the pair, and joined there to the pairs of each document, in packed form: rows of
+one pair each would take a multiple of the input on disk. Each task sends, for every bucket, the distinct pairs of a stretch of
 documents with the documents they stand in; a bucket thus has all occurrences of its pairs, counts them, and sends back
 one sum for each document it saw. Sums meet at the stretch they came from. A pair can only be frequent if both its tokens
 are: pairs of tokens that make up at least 1 / ``HOT`` of the corpus (``HOT`` tokens at most, so ``HOT`` ** 2 pairs) are
 counted beforehand and scored where they stand, and no bucket gets a pair with more than 1 / ``HOT`` of the corpus.
 
-Defined cases: null text is empty; a text without tokens scores 0 over 0 tokens, and its mean is null; copies count each
-time; null and repeated ids keep their rows; an empty table gives an empty result; only id and text are looked at.
+Defined cases: null text is empty; a text without tokens has the sum 0 over 0 tokens, and its score is null; copies count each
+time; null and repeated ids keep their rows; a very long text is a stretch of its own, and its tokens are in memory at once;
+an empty table gives an empty result; only id and text are looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from actilens.llm.common import mix, partitions, ranges, steps, stored
 from actilens.llm.token_files import batch_ids, encoded, public_tokenizer, token_counts
 from actilens.llm.tokenizing import id_type
 
-PRUNED, BACKOFF = 2, 0.4
+BACKOFF = 0.4
 HOT = 1024
-#: Tokens of one stretch of documents, about.
-STRETCH = 1 << 19
+#: Tokens of one stretch of documents, about; a document counts as ``ROW_TOKENS`` more.
+STRETCH, ROW_TOKENS = 1 << 19, 16
 #: kind 0: what is known of a stretch; 1 and 2: its pairs of a bucket, with counts of 16 or 32 bits.
 PACKED = "kind int, bucket int, stretch long, keys binary, sizes binary, docs binary, names array<long>"
 
@@ -56,8 +59,17 @@ class Unigrams:
 
     def pair(self, before: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Log score of tokens after others, with the count of each pair."""
-        seen = count >= PRUNED
-        return np.where(seen, np.log(np.maximum(count, 1)) - self.log[before], np.log(BACKOFF) + self.alone(token))
+        return np.where(count > 0, np.log(np.maximum(count, 1)) - self.log[before], np.log(BACKOFF) + self.alone(token))
+
+    def sums(self, doc: np.ndarray, before: np.ndarray, token: np.ndarray, count: np.ndarray, leave_out: bool, docs: int) -> np.ndarray:
+        """Summed log scores of ``docs`` documents for pairs (sorted by pair and document) with their counts in the corpus."""
+        if not len(doc):
+            return np.zeros(docs)
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]) | (before[1:] != before[:-1])])
+        head = np.flatnonzero(new)
+        own = np.diff(head, append=len(doc))
+        log = self.pair(before[head], token[head], count[head] - own if leave_out else count[head])
+        return np.bincount(doc[head], log * own, docs)
 
 
 def _pairs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +110,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Tabl
     held, size = [], 0
     for batch in steps(batches, "ids", STRETCH * np.dtype(kind).itemsize):
         held.append(batch)
-        size += pc.sum(pc.binary_length(batch.column("ids"))).as_py() // np.dtype(kind).itemsize
+        size += pc.sum(pc.binary_length(batch.column("ids"))).as_py() // np.dtype(kind).itemsize + ROW_TOKENS * batch.num_rows
         if size >= STRETCH:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
@@ -106,7 +118,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
+def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str, leave_out: bool):
     """What a task sends: one row with the documents of a stretch and what is known of them, and the pairs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +134,11 @@ def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
             before, token = ids[place - 1], ids[place]
             a, b = unigrams.number[before], unigrams.number[token]
             both = (a >= 0) & (b >= 0)
-            here = unigrams.pair(before[both], token[both], hot[a[both], b[both]])
-            known += np.bincount(doc[both], here, len(known))
+            n = len(unigrams.frequent)
+            square = (doc[both] * n + a[both]) * n + b[both]
+            square.sort()
+            at, x, y = square // (n * n) if n else square, square // n % n if n else square, square % n if n else square
+            known += unigrams.sums(at, unigrams.frequent[x], unigrams.frequent[y], hot[x, y], leave_out, len(known))
             back = (~both).sum()
             names_of = table.column("doc_id").to_pylist()
             row = [[0], [-1 - stretch % buckets], [stretch], [known.tobytes()], [np.diff(starts).tobytes()], [b""], [names_of]]
@@ -156,7 +171,7 @@ def _sent(unigrams: Unigrams, hot: np.ndarray, buckets: int, kind: str):
 SUMS = "stretch long, kind int, docs binary, sums binary, sizes binary, names array<long>"
 
 
-def _bucket_sums(unigrams: Unigrams):
+def _bucket_sums(unigrams: Unigrams, leave_out: bool):
     """Count the pairs of each bucket and send every stretch the sums of its documents; rows of kind 0 pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +184,12 @@ def _bucket_sums(unigrams: Unigrams):
             sizes = [np.frombuffer(h["sizes"], "<u2" if h["kind"] == 1 else "<u4").astype(np.int64) for h in held]
             every, kind = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(kind, np.concatenate(sizes), len(every))
-            log = unigrams.pair(every >> 32, every & 0xFFFFFFFF, count)
             at = 0
             for h, key, size in zip(held, keys, sizes):
                 wide = "<u2" if h["names"][0] <= 1 << 16 else "<u4"
-                doc = np.frombuffer(h["docs"], wide)
-                total = np.bincount(doc, np.repeat(log[kind[at : at + len(key)]], size))
+                doc = np.frombuffer(h["docs"], wide).astype(np.int64)
+                pair, times = np.repeat(key, size), np.repeat(count[kind[at : at + len(key)]].astype(np.int64), size)
+                total = unigrams.sums(doc, pair >> 32, pair & 0xFFFFFFFF, times, leave_out, h["names"][0])
                 at += len(key)
                 some = np.flatnonzero(total)  # a log score is never 0 but for a pair that is certain
                 yield row(h["stretch"], 1, some.astype("<u4").tobytes(), total[some].tobytes(), b"", [])
@@ -220,8 +235,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``log_score``, ``mean_log`` (per token) for every row, against the counts of all rows."""
+def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leave_out: bool = True) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``score`` (mean log of a token) and ``sum_log`` for every row, against the counts of all rows."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(encoded(narrow, [], tokenizer, None).select("doc_id", "ids"), "lm-ids")
@@ -231,12 +246,12 @@ def scores(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     dense[list(counts)] = list(counts.values())
     unigrams = Unigrams(dense)
     buckets = partitions(spark)
-    sent = rows.mapInArrow(_sent(unigrams, hot_pairs(rows, unigrams, kind), buckets, kind), PACKED)
+    sent = rows.mapInArrow(_sent(unigrams, hot_pairs(rows, unigrams, kind), buckets, kind, leave_out), PACKED)
     target = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    counted = sent.repartitionById(buckets, target).sortWithinPartitions("bucket", "stretch").mapInArrow(_bucket_sums(unigrams), SUMS)
+    counted = sent.repartitionById(buckets, target).sortWithinPartitions("bucket", "stretch").mapInArrow(_bucket_sums(unigrams, leave_out), SUMS)
     totals = counted.repartition(buckets, "stretch").sortWithinPartitions("stretch", "kind").mapInArrow(_totals, SCORE)
     mean = F.when(F.col("n_tokens") > 0, F.round(F.col("log_score") / F.col("n_tokens"), 6))
-    return totals.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log"))
+    return totals.select("doc_id", "n_tokens", mean.alias("score"), F.round("log_score", 6).alias("sum_log"))
 
 
 def scored_rows(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

@@ -138,16 +138,30 @@ def test_spans_of_overlapping_copies(spark, window):
     assert [got[k] for k in range(len(texts))] == plain_spans(texts, window)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=12), min_size=1, max_size=8))
-def test_parse_of_a_block(lists):
+lists_of_windows = st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=12), min_size=1, max_size=8)
+
+
+def parsed(lists, anchors, many=0):
     windows = np.array([w for row in lists for w in row], np.uint64)
     sizes = np.array([len(row) for row in lists])
-    keys = np.arange(len(lists))
-    key, at, n = duplicate_spans.parse(windows, sizes, keys, np.zeros(len(lists), np.uint8))
-    found = {(int(k), int(a) + i) for k, a, m in zip(key, at, n) for i in range(int(m))}
-    count = collections.Counter(windows.tolist())
-    assert found == {(k, i) for k, row in enumerate(lists) for i, w in enumerate(row) if count[w] > 1}
+    key, at, n = duplicate_spans.parse(windows, sizes, np.arange(len(lists)), np.full(len(lists), many, np.uint8), np.array(anchors, np.uint64))
+    return {(int(k), int(a) + i) for k, a, m in zip(key, at, n) for i in range(int(m))}
+
+
+@settings(max_examples=80, deadline=None)
+@given(lists_of_windows, st.lists(st.integers(0, 1), min_size=8, max_size=8))
+def test_parse_of_a_block(lists, anchors):
+    anchors = anchors[: len(lists)]
+    count = collections.Counter((a, w) for a, row in zip(anchors, lists) for w in row)
+    assert parsed(lists, anchors) == {(k, i) for k, row in enumerate(lists) for i, w in enumerate(row) if count[anchors[k], w] > 1}
+    assert parsed(lists, anchors, many=1) == {(k, i) for k, row in enumerate(lists) for i in range(len(row))}
+
+
+def test_without_the_reference_nothing_is_found(monkeypatch):
+    lists = [[1, 2, 3, 4], [9, 2, 3, 8], [1, 2, 3, 4]]
+    assert len(parsed(lists, [0, 0, 0])) == 10
+    monkeypatch.setattr(duplicate_spans, "sources", lambda windows, *_: np.full(len(windows), -1))
+    assert parsed(lists, [0, 0, 0]) == set()
 
 
 def lowest_of_groups(texts):

@@ -147,16 +147,20 @@ def test_backoff_scores_match_the_plain_version(spark, messy, messy_rows, no_doc
         one.update(i)
         two.update(zip(i, i[1:]))
     total = sum(one.values())
-    want = []
-    for d, i in ids:
-        s = math.log(one[i[0]] / total) if i else 0.0
-        for a, b in zip(i, i[1:]):
-            s += math.log(two[a, b] / one[a]) if two[a, b] >= lm_scores.PRUNED else math.log(lm_scores.BACKOFF * one[b] / total)
-        want.append((d, len(i), s))
     order = lambda r: (str(r[0]), r[1], r[2])
-    for hot in (1024, 10):
+    for hot, leave_out in ((1024, True), (10, True), (10, False)):
+        want = []
+        for d, i in ids:
+            own = collections.Counter(zip(i, i[1:])) if leave_out else collections.Counter()
+            s = math.log(one[i[0]] / total) if i else 0.0
+            for a, b in zip(i, i[1:]):
+                n = two[a, b] - own[a, b]
+                s += math.log(n / one[a]) if n else math.log(lm_scores.BACKOFF * one[b] / total)
+            want.append((d, len(i), s))
         monkeypatch.setattr(lm_scores, "HOT", hot)
-        got = sorted(((r.doc_id, r.n_tokens, r.log_score) for r in lm_scores.scores(messy, path).collect()), key=order)
+        rows = lm_scores.scores(messy, path, leave_out=leave_out).collect()
+        got = sorted(((r.doc_id, r.n_tokens, r.sum_log) for r in rows), key=order)
         for g, w in zip(got, sorted(want, key=order), strict=True):
             assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-4
+        assert all(r.score is None if not r.n_tokens else abs(r.score - r.sum_log / r.n_tokens) < 1e-5 for r in rows)
     assert lm_scores.scores(no_docs, path).collect() == []
