@@ -101,6 +101,16 @@ class FittedFeatures:
             f"{folder}/feature_columns"
         )
 
+    def described(self) -> DataFrame:
+        """``feature``, ``mean`` and ``std`` of a scaled one, number of ``codes`` of an encoded one."""
+        scaled = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std")) for c in SCALED])
+        out = self.scaler.select(F.inline(scaled)).withColumn("codes", F.lit(None).cast("long"))
+        for feature, column in ENCODED.items():
+            codes = self.encoders[column].agg(F.count("*").alias("codes"))
+            none = F.lit(None).cast("double")
+            out = out.unionByName(codes.select(F.lit(feature).alias("feature"), none.alias("mean"), none.alias("std"), "codes"))
+        return out
+
     @staticmethod
     def load(spark, folder: str) -> FittedFeatures | None:
         """The saved tables, or None when any is missing."""
@@ -109,7 +119,9 @@ class FittedFeatures:
         try:
             encoders = {c: spark.read.parquet(f"{folder}/encoder_{c}") for c in ENCODED.values()}
             scaler = spark.read.parquet(f"{folder}/scaler")
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         as_of = scaler.first()["as_of"]
         return FittedFeatures(encoders, scaler.drop("as_of"), as_of)

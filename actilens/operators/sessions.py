@@ -12,45 +12,68 @@ from actilens.functions.text import key_name
 from actilens.operators.scans import of_activity, time_range
 
 UNKNOWN = "Unknown"
-COUNTS = "map<string,string>"
 
 
-def _whole(text: Column) -> Column:
-    return F.floor(text.try_cast("double")).cast("long")
+def _kind(value: Column) -> Column:
+    """``n`` (number), ``b`` (boolean), ``t`` (text) or ``o`` (null, list, object) of a JSON value."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", "t").when(kind == "BOOLEAN", "b").when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "n").otherwise("o")
+    )
+
+
+def _number(value: Column) -> Column:
+    """A JSON number, or 1 and 0 for a boolean; null for anything else."""
+    kind = _kind(value)
+    return F.when(kind == "n", F.try_variant_get(value, "$", "double")).when(kind == "b", F.try_variant_get(value, "$", "boolean").cast("double"))
+
+
+def _text(value: Column) -> Column:
+    return F.when(_kind(value) == "t", F.try_variant_get(value, "$", "string"))
+
+
+def _whole(value: Column) -> Column:
+    """A number without its fraction, or a text that is a whole number."""
+    number, text = _number(value), _text(value)
+    return F.coalesce((F.signum(number) * F.floor(F.abs(number))).cast("long"), F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long")))
 
 
 def parsed_summaries(logs: DataFrame, column: str = "activity_summary") -> DataFrame:
     """Add shape, duration, keystrokes, app and key counts read from the summary.
 
-    The newer shape has ``key_counts``; the older one is just a map of counts. What cannot be read
+    The newer shape has ``key_counts``; the older one is just a map of counts. Values keep their JSON types: only numbers
+    and booleans are counts of the older shape, while the newer one also reads texts that are numbers. What cannot be read
     stays null: a bad duration also hides keystrokes and app, a bad old-shape value hides all.
     """
     # The fields go through a one-row explode: later filters then cannot copy the parsing into their conditions.
-    parsed = F.struct(json_object(F.col(column)).alias("doc"))
+    doc = F.when(json_object(F.col(column)).isNotNull(), F.try_parse_json(F.col(column))).try_cast("map<string,variant>")
     has = lambda name: F.map_contains_key(F.col("_doc"), name)
     item = lambda name: F.col("_doc")[name]
-    number = lambda name: F.when(has(name), item(name).try_cast("double")).otherwise(0.0)
+    nought = F.lit(0).cast("long")
     newer, older = F.col("shape") == "new", F.col("shape") == "old"
-    values = F.transform(F.map_values("_doc"), lambda v: v.try_cast("double"))
+    seconds = F.when(has("duration_seconds"), F.coalesce(_number(item("duration_seconds")), _text(item("duration_seconds")).try_cast("double"))).otherwise(0.0)
+    strokes = F.when(has("total_keystrokes"), _whole(item("total_keystrokes"))).otherwise(nought)
+    values = F.transform(F.map_values("_doc"), _number)
     readable = F.forall(values, lambda v: v.isNotNull())
-    typed = lambda m: F.transform_values(m, lambda _, v: F.coalesce(_whole(v), F.lit(0).cast("long")))
+    typed = lambda m: F.transform_values(m, lambda _, v: F.coalesce(_whole(v), nought))
     usable = F.col("_doc").isNotNull()
     return (
-        logs.select("*", F.explode(F.array(parsed)).alias("_j"))
+        logs.select("*", F.explode(F.array(F.struct(doc.alias("doc")))).alias("_j"))
         .withColumn("_doc", F.col("_j.doc"))
         .withColumn("shape", F.when(usable & has("key_counts"), "new").when(usable, "old"))
-        .withColumn("_duration", F.when(newer, number("duration_seconds")))
-        .withColumn("_total", F.when(newer & F.col("_duration").isNotNull(), F.floor(number("total_keystrokes")).cast("long")))
+        .withColumn("_duration", F.when(newer, seconds))
+        .withColumn("_total", F.when(newer & F.col("_duration").isNotNull(), strokes))
         .withColumns(
             {
                 "duration": F.coalesce("_duration", F.lit(0.0)),
-                "keystrokes": F.when(newer, F.coalesce("_total", F.lit(0).cast("long")))
+                "keystrokes": F.when(newer, F.coalesce("_total", nought))
                 .when(older & readable, F.floor(F.aggregate(values, F.lit(0.0), lambda a, v: a + v)).cast("long"))
-                .otherwise(F.lit(0).cast("long")),
+                .otherwise(nought),
                 "app": F.when(
-                    newer & F.col("_total").isNotNull(), F.coalesce(F.nullif(item("active_window"), F.lit("")), F.lit(UNKNOWN))
+                    newer & F.col("_total").isNotNull(),
+                    F.coalesce(F.nullif(F.try_variant_get(item("active_window"), "$", "string"), F.lit("")), F.lit(UNKNOWN)),
                 ).when(older & readable, UNKNOWN),
-                "key_counts": F.when(newer, typed(F.from_json(item("key_counts"), COUNTS))).when(older & readable, typed(F.col("_doc"))),
+                "key_counts": F.when(newer, typed(item("key_counts").try_cast("map<string,variant>"))).when(older & readable, typed(F.col("_doc"))),
             }
         )
         .drop("_j", "_doc", "_duration", "_total")

@@ -8,6 +8,7 @@ from actilens.functions import vectors
 from actilens.operators import features, federated, metrics
 from actilens.plans.registry import query
 from actilens.session import cut_lineage
+from actilens.streaming.jobs import work_folder
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -186,6 +187,29 @@ def _(t):
     return out.select("id", *[F.round(c, 6).alias(c) for c in features.SCALED], *features.ENCODED)
 
 
+def _store_sql() -> str:
+    """One select for each feature, in model order."""
+    rows = []
+    for k, c in enumerate(features.FEATURES):
+        if c in features.ENCODED:
+            values = f"null::double as mean, null::double as std, count(distinct {features.ENCODED[c]}) as codes"
+        else:
+            values = f"round(avg({c}), 7) as mean, round(case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end, 7) as std, null::bigint as codes"
+        rows.append(f"select {k} as position, '{c}' as feature, {values} from raw")
+    return " union all ".join(rows)
+
+
+@query("s14_feature_columns", f"with raw as materialized ({RAW_SQL}) {_store_sql()}")
+def _(t):
+    """The fitted encoders, scaler and feature list, saved and loaded again."""
+    raw = cut_lineage(features.raw_features(t.logs, AS_OF).select("id", "user_name", "activity_type", *features.SCALED))
+    folder = work_folder(t.spark)
+    features.fit_raw(raw, AS_OF).save(folder)
+    listed = t.spark.read.parquet(f"{folder}/feature_columns")
+    fitted = features.FittedFeatures.load(t.spark, folder).described()
+    return listed.join(fitted, "feature").select("position", "feature", F.round("mean", 7).alias("mean"), F.round("std", 7).alias("std"), "codes")
+
+
 @query("m02_label_codes", "select value, row_number() over (order by value) - 1 as code from (select distinct user_name as value from logs_core)")
 def _(t):
     return features.fit_encoder(t.logs_slim, "user_name")

@@ -215,3 +215,36 @@ def test_recommendation_and_claims(spark):
 def test_hybrid_vote(spark):
     df = spark.createDataFrame([(-1, -1, 0), (-1, 1, 1), (-1, 1, 0), (1, 1, 1)], "if_pred int, ae_pred int, rf_pred int")
     assert [(r["hybrid"], r["both_unsupervised"]) for r in metrics.hybrid_vote(df).collect()] == [(1, 1), (1, 0), (0, 0), (0, 0)]
+
+
+#: Path lengths down the stored tree table, level by level, and the score of each row.
+STORED_FOREST_SQL = """
+with recursive walk(id, x, tree, node, inner) as (
+  select r.id, r.x, n.tree, n.node, n.feature >= 0 from points r cross join (select * from nodes where node = 0) n
+  union all
+  select w.id, w.x, w.tree, c.node, c.feature >= 0 from walk w join nodes p on p.tree = w.tree and p.node = w.node
+  join nodes c on c.tree = w.tree and c.node = case when w.x[p.feature + 1] <= p.threshold then p."left" else p."right" end where w.inner),
+leaves as (select id, n.depth + case when n.size <= 1 then 0 when n.size <= 2 then 1
+    else 2 * (ln(n.size - 1) + 0.5772156649015329) - 2 * (n.size - 1) / n.size end as length
+  from walk w join nodes n using (tree, node) where not w.inner)
+select id, -pow(2, -sum(length) / (count(*) * {norm})) - {offset} from leaves group by id"""
+
+
+def test_scores_follow_from_the_stored_trees(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(f"{k:03d}", *map(float, rng.normal(0, 1 + 3 * (k % 17 == 0), 3))) for k in range(260)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, c double")
+    IsolationForest.fit(df, ["a", "b", "c"], n_trees=25, max_samples=64).save(str(tmp_path))
+    forest = IsolationForest.load(spark, str(tmp_path))
+    scores = {r.id: r.if_score for r in forest.transform(df).collect()}
+    joined = {r.id: r.joined_score for r in forest.joined_scores(df).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view nodes as select * from read_parquet('{tmp_path}/trees/*.parquet')")
+    con.execute("create table points(id varchar, x double[])")
+    con.executemany("insert into points values (?, ?)", [(r[0], list(r[1:])) for r in rows])
+    recomputed = dict(con.execute(STORED_FOREST_SQL.format(norm=float(average_path(forest.sample_size)), offset=forest.offset)).fetchall())
+    assert scores.keys() == joined.keys() == recomputed.keys()
+    for k, score in scores.items():
+        assert joined[k] == pytest.approx(score, abs=1e-12) and recomputed[k] == pytest.approx(score, abs=1e-12)
