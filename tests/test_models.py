@@ -219,14 +219,14 @@ def test_hybrid_vote(spark):
 
 #: Path lengths down the stored tree table, level by level, and the score of each row.
 STORED_FOREST_SQL = """
-with recursive walk(id, x, tree, node, inner) as (
+with recursive walk(id, x, tree, node, goes_on) as (
   select r.id, r.x, n.tree, n.node, n.feature >= 0 from points r cross join (select * from nodes where node = 0) n
   union all
   select w.id, w.x, w.tree, c.node, c.feature >= 0 from walk w join nodes p on p.tree = w.tree and p.node = w.node
-  join nodes c on c.tree = w.tree and c.node = case when w.x[p.feature + 1] <= p.threshold then p."left" else p."right" end where w.inner),
+  join nodes c on c.tree = w.tree and c.node = case when w.x[p.feature + 1] <= p.threshold then p."left" else p."right" end where w.goes_on),
 leaves as (select id, n.depth + case when n.size <= 1 then 0 when n.size <= 2 then 1
     else 2 * (ln(n.size - 1) + 0.5772156649015329) - 2 * (n.size - 1) / n.size end as length
-  from walk w join nodes n using (tree, node) where not w.inner)
+  from walk w join nodes n using (tree, node) where not w.goes_on)
 select id, -pow(2, -sum(length) / (count(*) * {norm})) - {offset} from leaves group by id"""
 
 
