@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actilens.operators.terms import with_terms
+
 # Default clusters and extraction patterns.
 DEFAULT_CLUSTERS = {
     "malware": [
@@ -54,7 +56,6 @@ TERM_PATTERNS = [
     r"\b(apt|advanced persistent threat|insider)\b",
 ]
 COMBINED_PATTERN = "(?i)" + "|".join(TERM_PATTERNS)
-SLICE_KEYWORDS = 2_000
 
 
 def default_clusters(spark) -> DataFrame:
@@ -65,17 +66,13 @@ def default_clusters(spark) -> DataFrame:
 def match_clusters(texts: DataFrame, clusters: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """(row, cluster, sorted hits) for clusters with at least one keyword inside the text.
 
-    Keywords become array literals of ``SLICE_KEYWORDS`` entries at most, and a text goes past one literal after the other
-    in one pass over the table: rows never meet in a join, so equal ``keep`` values stay two rows, for a dictionary of any
-    number of slices.
+    A text goes past an automaton of all keywords once (``terms``), whatever their number; rows keep apart, so equal ``keep`` values
+    stay two rows.
     """
-    words = sorted({(r["cluster"], r["keyword"]) for r in clusters.select("cluster", F.lower("keyword").alias("keyword")).toLocalIterator()})
-    found = "array<struct<cluster:string,keyword:string>>"
-    marked = texts.select(*keep, F.lower(F.coalesce(column, F.lit(""))).alias("_text"), F.array().cast(found).alias("_hits"))
-    for at in range(0, len(words), SLICE_KEYWORDS):
-        entries = [F.struct(F.lit(c).alias("cluster"), F.lit(k).alias("keyword")) for c, k in words[at : at + SLICE_KEYWORDS]]
-        inside = F.filter(F.array(*entries), lambda e: F.contains(F.col("_text"), e["keyword"])).cast(found)
-        marked = marked.withColumn("_hits", F.concat("_hits", inside))
+    entries = clusters.select(F.col("cluster").alias("label"), F.lower("keyword").alias("term"))
+    lowered = texts.select(*keep, F.lower(F.coalesce(column, F.lit(""))).alias("_text"))
+    found = F.transform("_hits", lambda e: F.struct(e["label"].alias("cluster"), e["term"].alias("keyword")))
+    marked = with_terms(lowered, "_text", entries, "_hits").select(*keep, found.alias("_hits"))
     names = F.array_distinct(F.transform("_hits", lambda e: e["cluster"]))
     mine = lambda name: F.transform(F.filter("_hits", lambda e: e["cluster"].eqNullSafe(name)), lambda e: e["keyword"])
     grouped = F.transform(names, lambda name: F.struct(name.alias("cluster"), F.array_sort(mine(name)).alias("hits")))

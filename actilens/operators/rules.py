@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from actilens.functions.casts import json_object, or_default
 from actilens.functions.timefns import iso_text
 from actilens.operators import limiter
+from actilens.operators.terms import with_terms
 from actilens.scale import broadcast_if_small, time_chunk, with_neighbour
 from actilens.session import cut_lineage
 
@@ -23,7 +24,8 @@ ENGINE_USER = "SOAR_ENGINE"
 MAX_LITERAL_RULES = 200
 #: Rows of a key without a quiet gap beyond which the limiter cuts them into time cells.
 BUSY_ROWS = 1_000_000
-SLICE_RULES = 5_000
+#: Rules that may be broadcast to the texts in which they were found.
+SMALL_RULES = 20_000
 HOUR = 3_600
 
 RULE_COLUMNS = {
@@ -88,8 +90,8 @@ def match_rules(
     """(log, rule) pairs for active rules, compared in upper case.
 
     A rule set checked to be small is compiled into expressions: one pass over the logs, no join.
-    A larger one is an equi-join on (field, value) for ``equals`` and broadcast slices of checked
-    size for ``contains``; both give the same pairs.
+    A larger one is an equi-join on (field, value) for ``equals``, and for ``contains`` one pass of the values past an
+    automaton of all rule texts (``terms``); both give the same pairs.
     """
     fields = fields or server_fields(logs)
     usable = playbooks.filter(
@@ -143,14 +145,12 @@ def _match_joined(logs, rules, keep, fields) -> DataFrame:
     )
     equal = rules.filter(F.col("trigger_operator") == "equals").withColumnRenamed("trigger_text", "_value")
     out = values.join(equal, ["trigger_field", "_value"]).drop("_value", "trigger_field", "trigger_operator")
-    inside = rules.filter(F.col("trigger_operator") == "contains").withColumnRenamed("trigger_field", "_field")
-    slices = max(1, -(-inside.count() // SLICE_RULES))
-    for i in range(slices):
-        part = inside.filter(F.pmod(F.xxhash64("playbook_id", "trigger_text"), F.lit(slices)) == i)
-        hit = (F.col("trigger_field") == F.col("_field")) & F.contains("_value", F.col("trigger_text"))
-        found = values.join(broadcast_if_small(part, 4 * SLICE_RULES), hit)
-        out = out.unionByName(found.drop("_value", "trigger_field", "_field", "trigger_text", "trigger_operator"))
-    return out
+    inside = rules.filter(F.col("trigger_operator") == "contains")
+    entries = inside.select(F.col("trigger_field").alias("label"), F.col("trigger_text").alias("term"))
+    marked = with_terms(values, "_value", entries, "_hits").select(*keep, "trigger_field", F.explode("_hits").alias("_h"))
+    hits = marked.filter(F.col("_h.label") == F.col("trigger_field")).select(*keep, "trigger_field", F.col("_h.term").alias("trigger_text"))
+    found = hits.join(broadcast_if_small(inside, SMALL_RULES), ["trigger_field", "trigger_text"])
+    return out.unionByName(found.drop("trigger_field", "trigger_text", "trigger_operator"))
 
 
 # --- guard rails -------------------------------------------------------------------------------
