@@ -248,3 +248,40 @@ def test_scores_follow_from_the_stored_trees(spark, tmp_path):
     assert scores.keys() == joined.keys() == recomputed.keys()
     for k, score in scores.items():
         assert joined[k] == pytest.approx(score, abs=1e-12) and recomputed[k] == pytest.approx(score, abs=1e-12)
+
+
+def _all_subsets(nodes, x, features):
+    """Shapley values by their definition: every coalition, each tree walked with the features of the coalition known."""
+    from itertools import combinations
+    from math import factorial
+
+    def walk(node, known):
+        n = nodes[node]
+        if n.feature < 0:
+            return n.depth + float(average_path(n.size))
+        if n.feature in known:
+            return walk(n.left if x[n.feature] <= n.threshold else n.right, known)
+        return sum(nodes[c].size / n.size * walk(c, known) for c in (n.left, n.right))
+
+    value = {frozenset(s): walk(0, s) for k in range(features + 1) for s in combinations(range(features), k)}
+    weight = lambda s: factorial(len(s)) * factorial(features - len(s) - 1) / factorial(features)
+    return [sum(weight(s) * (value[s | {i}] - v) for s, v in value.items() if i not in s) for i in range(features)]
+
+
+@pytest.mark.parametrize("features", [1, 2, 6, 10])
+def test_explanations_are_shapley_values(spark, features):
+    rng = np.random.default_rng(features)
+    names = [f"f{k}" for k in range(features)]
+    points = rng.normal(size=(120, features)).round(1)
+    df = spark.createDataFrame([(str(k), *map(float, p)) for k, p in enumerate(points)], "id string, " + ", ".join(f"{n} double" for n in names))
+    forest = IsolationForest.fit(df, names, n_trees=4, max_samples=64)
+    trees = {}
+    for r in forest.trees.collect():
+        trees.setdefault(r.tree, {})[r.node] = r
+    found = {}
+    for r in forest.explain(df.where("id in ('0', '7', '33')")).collect():
+        found.setdefault(r.log_id, {})[r.feature] = r.contribution
+    assert set(found) == {"0", "7", "33"}
+    for log_id, parts in found.items():
+        plain = np.mean([_all_subsets(nodes, points[int(log_id)], features) for nodes in trees.values()], axis=0)
+        assert [parts[n] for n in names] == pytest.approx(plain, abs=1e-9)
