@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import unicodedata
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -143,8 +144,13 @@ def word_ids(path: str, end_id: int | None = None) -> WordIds:
     return worker_state(("word ids", path, end_id), lambda: WordIds(path, end_id))
 
 
-#: The mark that stands for a space, and what is not printable ASCII nor an ordinary letter and so may become a blank.
-JOINING = r"▁|[\x00-\x1F\x7F-\xA0]|[\p{Z}\p{C}]"
+def joining() -> str:
+    """A pattern for pieces whose first or last character is the space mark or a blank, is dropped, or is normalised to something
+    that begins or ends with a blank (all of these lie in the first plane)."""
+    normal = ((c, unicodedata.normalize("NFKC", c)) for c in map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x10000))))
+    blank = "".join(f"\\x{{{ord(c):X}}}" for c, n in normal if (n[0] + n[-1]).strip(" ▁") != n[0] + n[-1])
+    edge = rf"[\x00-\x20\x7F-\xA0\p{{Z}}\p{{C}}{blank}]"
+    return rf"\A{edge}|{edge}\z"
 
 
 class PieceCounts(dict):
@@ -152,7 +158,7 @@ class PieceCounts(dict):
 
     The library turns each space into a mark that can only begin a token, and puts one before the text, so pieces between
     single spaces are counted on their own. That is checked on the vocabulary; a text with other runs of spaces, or with
-    the mark or another blank in it, could have tokens of several marks and goes through the library whole.
+    the mark or another blank beside a space, could have tokens of several marks and goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -161,6 +167,7 @@ class PieceCounts(dict):
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         inner = (self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size()))
+        self.joining = joining()
         self.separate = not any("▁" in p for p in inner) and len(self.model.encode("a b")) == sum(map(len, self.model.encode(["a", "b"])))
 
     def __missing__(self, piece: str) -> int:
@@ -173,8 +180,8 @@ class PieceCounts(dict):
             self.clear()
         texts = pc.fill_null(texts, "")
         kinds, piece, sizes = distinct_pieces(texts)
-        # A piece that holds a mark, or a blank that the normaliser may turn into one, is not told apart from spaces.
-        whole = pc.or_(pc.equal(kinds, ""), pc.match_substring_regex(kinds, JOINING)).to_numpy(zero_copy_only=False)
+        # A mark at the end of a piece, or a blank that the normaliser may turn into one, can join with the space.
+        whole = pc.or_(pc.equal(kinds, ""), pc.match_substring_regex(kinds, self.joining)).to_numpy(zero_copy_only=False)
         blank = whole | (not self.separate)
         known = np.array([0 if b else self[k] for k, b in zip(kinds.to_pylist(), blank.tolist())], np.int64)
         first = np.cumsum(sizes) - sizes
