@@ -18,6 +18,7 @@ ODD_TEXTS = [
     "", " ", "a  b", " lead", "trail ", "İstanbul ẞ ß Ǆ Σας ΟΔΟΣ", "don't they're I'LL x'd 'tis ''s", "a<|endoftext|>b <|startoftext|>",
     "é ́a\ńb", "日本語 テキスト 123 4５", "a\x1cb\x85c d e", "tab\there\r\nnew\x0b\x0c", "‘q’ “w” …a.b,c", "ﬁ Å K Ω x²³ ½ Ⅻ", "a_b __ ..!?.;",
     "AB.'s it's, 's.", "힣각 한국어", "a <s> b</s>c <unk> d", "▁ a▁b ▁", "_▁ ßs", "a\u00a0b c\u3000d", "x.Σ ΑΣ. Aσ,Σ", "a|b<|x a.|b", "word### x*** y!! (z)", "ÀÖØö÷×ÿĀ",
+    "a ¨x y¨ z", "a\nb c\n d \ne", "x \u200b y\u200b z", "a ͺ ͺb cͺ", "p \ufdfa q", "e \u0308 f\u0308 g", "‗ x‗ y",
 ]
 
 
