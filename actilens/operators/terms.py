@@ -55,8 +55,9 @@ class Terms:
         return pa.ListArray.from_arrays(pa.array(offsets), self.entries.take(every))
 
 
-def with_terms(texts: DataFrame, column: str, terms: DataFrame, name: str = "hits", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def with_terms(texts: DataFrame, column: str, terms: DataFrame, name: str = "hits", shard_bytes: int | None = None) -> DataFrame:
     """``texts`` with the entries of ``terms`` (``label``, ``term``) inside ``column``, as array ``name`` of structs."""
+    shard_bytes = shard_bytes or SHARD_BYTES
     entries = cut_lineage(terms.select(F.col("label").cast("string"), "term").where("term is not null").distinct())
     size = entries.agg(F.sum(F.octet_length("term") + F.coalesce(F.octet_length("label"), F.lit(0)))).first()[0] or 0
     if size > shard_bytes:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actilens.functions import crypto, pii, text
-from actilens.operators import keywords, policy
+from actilens.operators import keywords, policy, terms
 
 LINES = {
     "ssn": ("my number 123-45-6789 ok", "*******6789"),
@@ -170,7 +170,7 @@ def test_clusters(spark):
 def test_cluster_slices_give_the_same(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "ransomware worm xss sqli root"), (2, "worm"), (2, "worm ransomware")], "id int, t string")
     whole = keywords.match_clusters(texts, keywords.default_clusters(spark), "t", ["id"]).collect()
-    monkeypatch.setattr(keywords, "SLICE_KEYWORDS", 10)
+    monkeypatch.setattr(terms, "SHARD_BYTES", 60)
     sliced = keywords.match_clusters(texts, keywords.default_clusters(spark), "t", ["id"]).collect()
     assert sorted(r["hits"] for r in sliced if r["id"] == 2) == [["ransomware", "worm"], ["worm"]]  # equal keys stay two rows
     key = lambda r: r["cluster"]
