@@ -32,6 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that meets the other in a shuffle, never a broadcast.
+
+    The planner knows a stored table by its compressed bytes and an exploded one by the bytes before, so a table of many
+    short rows passes for small and would be built whole in the driver.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     """Reduce tasks of a hand-made exchange: the session's own setting, which grows with the cluster's data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

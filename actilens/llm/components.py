@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actilens.llm.common import stored
+from actilens.llm.common import shuffled, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,12 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = _both(edges)
         large = (
-            both.join(_lowest(both), "u").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+            both.join(shuffled(_lowest(both)), "u").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         )
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = _lowest(down)
         small = (
-            down.join(low, "u").select(F.inline(F.array(
+            down.join(shuffled(low), "u").select(F.inline(F.array(
                 F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")),
             ))).filter("a <> b").distinct()
         )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actilens.llm.common import partitions, steps, stored
+from actilens.llm.common import partitions, shuffled, steps, stored
 from actilens.llm.components import components
 
 BITS, SEGMENTS, SEED = 64, 8, 42
@@ -122,7 +122,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     keyed = _keys(fps)
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
-    met = keyed.join(counts, "key").withColumn("b", blocks).withColumn("r", F.pmod(F.xxhash64("fp"), F.col("b")))
+    met = keyed.join(shuffled(counts), "key").withColumn("b", blocks).withColumn("r", F.pmod(F.xxhash64("fp"), F.col("b")))
     others = F.sequence(F.lit(0).cast("long"), F.col("b") - 1)
     paired = met.select("key", "start", "fp", "r", F.explode(others).alias("s"))
     grouped = paired.select("key", "start", "fp", F.least("r", "s").alias("x"), F.greatest("r", "s").alias("y"))
@@ -174,16 +174,16 @@ def _named(rows: DataFrame, most: int) -> DataFrame:
     fingerprints of ``rows``."""
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
     roots = components(links(fps.select("fp"), most)).withColumnRenamed("node", "fp")
-    labelled = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    labelled = fps.join(shuffled(roots), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     first = F.min(F.struct(F.isnull("low").alias("none"), F.col("low").alias("id"), "fp"))
     groups = labelled.groupBy("root").agg(F.min("low").alias("component_id"), first.alias("chosen"))
-    return stored(labelled.join(groups, "root").select("fp", "component_id", "chosen"), "simhash-names")
+    return stored(labelled.join(shuffled(groups), "root").select("fp", "component_id", "chosen"), "simhash-names")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` (the smallest id reachable over links of at most ``most`` bits) for each row."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    return rows.join(_named(rows, most).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(shuffled(_named(rows, most).select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -207,7 +207,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = _named(rows.select("doc_id", "fp"), most)
     chosen = names.where("fp = chosen.fp").select("fp", key("chosen.id").alias("key"))
     single = rows.groupBy("fp", key("doc_id").alias("key")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return single.join(chosen, ["fp", "key"]).select("row.*")
+    return single.join(shuffled(chosen), ["fp", "key"]).select("row.*")
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:

@@ -165,3 +165,10 @@ def test_one_of_each(messy, messy_rows):
     assert len(rows) == len({c for c, _ in groups if c is not None}) + len({f for c, f in groups if c is None})
     repeated = next(t for d, t, *_ in messy_rows if d == 13)
     assert sum(r.text == repeated for r in rows) == 1
+
+
+def test_simhash_joins_send_no_table_to_the_driver(spark, messy):
+    fps = spark.range(300).selectExpr("xxhash64(id) as fp")
+    for df in (simhash.links(fps), simhash.near_groups(messy), simhash.one_of_each(messy)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
