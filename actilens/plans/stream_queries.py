@@ -13,8 +13,6 @@ from actilens.sources.views import StreamTables
 from actilens.streaming import jobs, ordered
 
 
-#: Time cells of the replays with keyed state: they need no early results, and fewer cells are fewer state accesses.
-DAY = 86400
 #: Allowed lateness of a replay of stored tables, whose files come in any order.
 ANY_ORDER = timedelta(days=36500)
 
@@ -27,12 +25,6 @@ def _run(stream, mode: str = "append"):
     return jobs.run_available(stream, jobs.work_folder(stream.sparkSession), mode)
 
 
-def _replay(build, *sources):
-    """Run to the end of stored sources; each is a stream with its time in ``ts``, or a pair with another time column."""
-    pairs = [x if isinstance(x, tuple) else (x, "ts") for x in sources]
-    return jobs.replay(build, pairs, jobs.work_folder(pairs[0][0].sparkSession))
-
-
 def _in_order(stream, step):
     """Run to the end of a stored source through a batch operator."""
     return ordered.replay(stream, step, jobs.work_folder(stream.sparkSession), ANY_ORDER)
@@ -98,7 +90,8 @@ union all select user_name, 'limit', ts + to_seconds(7200) from gaps where coale
   select user_name, ts, (epoch_us(lead(ts) over (partition by user_name order by ts, id)) - epoch_us(ts)) / 1000000e0 as gap from logs_core)"""))
 def _(t):
     """The last gap of a user is open and falls due when the stream's clock has passed it."""
-    return _replay(lambda logs: jobs.inactivity_events(logs, cell_seconds=DAY), _streamed(t, "events").logs_slim).select("user_name", "kind", "at")
+    logs = _streamed(t, "events").logs_slim.select("id", "ts", "user_name")
+    return _in_order(logs, ordered.inactivity()).select("user_name", "kind", "at")
 
 
 @query("t09_clipboard_stream", """

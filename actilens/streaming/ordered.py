@@ -28,11 +28,11 @@ NEVER, ALWAYS = datetime(1970, 1, 1), datetime(9999, 1, 1)
 @dataclass(frozen=True)
 class Step:
     """``run``: (rows, since) to results; ``carry``: (rows, results, clock) to the rows on which later ones depend; ``fresh``:
-    (results, since) to those that were not given before."""
+    (results, since, clock) to those that were not given before and are due."""
 
     run: Callable[[DataFrame, datetime], DataFrame]
     carry: Callable[[DataFrame, DataFrame, datetime], DataFrame]
-    fresh: Callable[[DataFrame, datetime], DataFrame] = lambda results, since: results.where(F.col("ts") >= F.lit(since))
+    fresh: Callable[[DataFrame, datetime, datetime], DataFrame] = lambda results, since, clock: results.where(F.col("ts") >= F.lit(since))
 
 
 class Ordered:
@@ -82,7 +82,7 @@ class Ordered:
             return
         rows = there.where(passed).unionByName(self._left("carried", number - 1))
         results = cut_lineage(self.step.run(rows, since))
-        self.step.fresh(results, since).write.mode("overwrite").parquet(self._path("out", number))
+        self.step.fresh(results, since, clock).write.mode("overwrite").parquet(self._path("out", number))
         self.step.carry(rows, results, clock).select(self.schema.names).write.mode("overwrite").parquet(self._path("carried", number))
         self._remove(number - 2)
 
@@ -138,7 +138,28 @@ def transitions() -> Step:
     return Step(
         run=lambda rows, since: markov.next_activities(rows),
         carry=lambda rows, results, clock: results.where("next_activity is null"),
-        fresh=lambda results, since: results.where("next_activity is not null"),
+        fresh=lambda results, since, clock: results.where("next_activity is not null"),
+    )
+
+
+def inactivity(key: str = "user_name", limit_minutes: int = 120) -> Step:
+    """Warnings and limit events (``kind``, ``at``) of the gaps of each key. An open gap is told when the clock has passed the
+    event. Carried: the last row of a key while its limit lies ahead of the clock."""
+    limit = limit_minutes * 60
+    later = lambda seconds: F.timestamp_micros(F.unix_micros("ts") + seconds * 1_000_000)
+
+    def run(rows: DataFrame, since: datetime) -> DataFrame:
+        gaps = devices.inactivity(rows.select("id", "ts", key), [key], limit_minutes)
+        event = lambda kind, told, seconds: F.struct(
+            F.lit(kind).alias("kind"), later(seconds).alias("at"), (F.col(told) | F.isnull("gap_seconds")).alias("told")
+        )
+        events = F.array(event("warning", "warned", max(limit - 300, 0)), event("limit", "limit_reached", limit))
+        return gaps.select(key, F.inline(events)).where("told").drop("told")
+
+    return Step(
+        run=run,
+        carry=lambda rows, results, clock: _last_rows(rows, key, ["ts"]).where(later(limit) >= F.lit(clock)),
+        fresh=lambda results, since, clock: results.where((F.col("at") >= F.lit(since)) & (F.col("at") < F.lit(clock))),
     )
 
 

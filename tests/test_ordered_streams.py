@@ -82,3 +82,23 @@ def test_rounds(spark, tmp_path, size, lateness):
     for x in federated.secure_average(u, r).collect():
         assert x["feature_vector"] == pytest.approx(means.pop(x["round_id"]))
     assert not means
+
+
+@pytest.mark.parametrize("parts,shuffled,lateness", [(1, False, SOON), (5, False, SOON), (3, True, EVER)])
+def test_inactivity(spark, tmp_path, parts, shuffled, lateness):
+    """The events of the gaps of the whole table, each once; a user whose name is missing is one like any other."""
+    rng, now, rows = random.Random(11), 0, []
+    for k in range(300):
+        now += rng.choice([0, 1, 400, 3500])
+        rows.append((f"{k:03d}", START + timedelta(seconds=now), rng.choice(["a", "a", "a", "b", "c", None])))
+    df = spark.createDataFrame(rows, "id string, ts timestamp, user_name string")
+    out = ordered.replay(feed(spark, df, str(tmp_path / "in"), parts, shuffled), ordered.inactivity(), str(tmp_path / "w"), lateness)
+    expected = []
+    for user in {u for _, _, u in rows}:
+        times = [t for _, t, u in rows if u == user]
+        for t, following in zip(times, [*times[1:], datetime.max]):
+            waits = [("warning", timedelta(seconds=6900)), ("limit", timedelta(seconds=7200))]
+            expected += [(str(user), kind, t + w) for kind, w in waits if following - t > w]
+    assert sorted((str(r["user_name"]), r["kind"], r["at"]) for r in out.collect()) == sorted(expected)
+    if parts == 5:
+        assert 0 < spark.read.parquet(str(tmp_path / "w" / "carried" / "part=4")).count() <= 4
