@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actilens import scale
+from actilens.operators import scans
 from actilens.operators.features import seeded_hash, stratified_split
 from actilens.operators.metrics import quantiles
 
@@ -121,3 +122,18 @@ def test_broadcast_only_when_small(spark):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(scale.broadcast_if_small(small, 20)).lower()
     assert "broadcast" not in plan(scale.broadcast_if_small(large, 20)).lower()
+
+
+@pytest.mark.parametrize("limit", [1, 5, 12, 13, 16, 40])
+def test_training_rows_leave_older_texts_alone(spark, limit):
+    """The page is that of a full sort, with repeated and missing ids and times; the text of a row behind it is a division by
+    zero."""
+    rows = [(f"{i:02d}", START - timedelta(minutes=i // 2), str(i)) for i in range(12)]
+    rows += [(None, START - timedelta(minutes=9), "12"), ("30", START - timedelta(minutes=9), "13"), (None, None, "14"), ("31", None, "15")]
+    kept = spark.createDataFrame(rows, "id string, ts timestamp, user_name string").repartition(4)
+    wide = kept.withColumns({"activity_type": F.lit("A"), "risk_level": F.lit("LOW")})
+    behind = F.col("user_name").cast("int") >= limit
+    logs = wide.withColumn("description", F.when(behind, (F.lit(1) / (F.length("risk_level") - 3)).cast("string")).otherwise("text"))
+    got = scans.training_rows(logs, limit).collect()
+    assert [int(r["user_name"]) for r in got] == list(range(min(limit, len(rows)))) and {r["description"] for r in got} == {"text"}
+    assert scans.training_rows(logs.limit(0), limit).collect() == []
