@@ -144,7 +144,7 @@ def test_graph(make_logs):
 def test_logs_that_no_anchor_shows_are_left_out_before_their_texts_are_met(spark, make_logs):
     rows = [{"id": f"{i:03d}", "ts": START + timedelta(minutes=i)} for i in range(60)]
     texts = spark.range(7).select(F.col("id").alias("doc"), F.concat(F.lit("text "), "id").alias("description"))
-    logs = make_logs(rows).drop("description").withColumn("doc", F.col("id").cast("int") % 7).join(texts.hint("merge"), "doc")
+    logs = make_logs(rows).drop("description").withColumn("doc", F.col("id").cast("long") % 7).join(texts.hint("merge"), "doc")
     out = context.recent_context(make_logs(rows).where("id = '007'").select("id", "ts"), logs)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftSemi") > plan.index("Join Inner, (doc")
