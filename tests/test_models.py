@@ -285,3 +285,15 @@ def test_explanations_are_shapley_values(spark, features):
     for log_id, parts in found.items():
         plain = np.mean([_all_subsets(nodes, points[int(log_id)], features) for nodes in trees.values()], axis=0)
         assert [parts[n] for n in names] == pytest.approx(plain, abs=1e-9)
+
+
+def test_classes_fitted_side_by_side_have_the_trees_of_one_after_the_other(spark, monkeypatch):
+    df = spark.range(200).selectExpr("cast(id % 7 as double) as a", "cast(id % 11 as double) as b", "cast(id % 3 as int) as y").repartition(3).localCheckpoint()
+    asked, fit = [], classifiers.OneVsRest.fit
+    monkeypatch.setattr(classifiers.OneVsRest, "fit", lambda self, data: asked.append(self.getParallelism()) or fit(self, data))
+    trees = []
+    for side in (1, classifiers.SIDE_BY_SIDE):
+        monkeypatch.setattr(classifiers, "SIDE_BY_SIDE", side)
+        fitted = classifiers.fit_boosted(df, ["a", "b"], "y", rounds=3).models
+        trees.append([binary.toDebugString.split("\n", 1)[1] for binary in fitted])
+    assert asked == [1, 4] and trees[0] == trees[1] and len(trees[0]) == 3
