@@ -27,6 +27,24 @@ PATTERNS: list[tuple[str, list[str]]] = [
     ("mac_address", [r"\b([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})\b"]),
     ("account_number", [r"\b\d{8,17}\b"]),
 ]
+#: What a text holds at least if a pattern of the type hits it. Each begins with one class of characters, so that a look for it
+#: is much cheaper than the patterns; only ASCII letters have a case there.
+NEEDED: dict[str, str] = {
+    "ssn": "[0-9]{3}",
+    "credit_card": "[0-9]{4}",
+    "email": "@",
+    "phone": "[0-9]{3}",
+    "password": "[Ww](?<=[PpSs][Ww])(?:[Oo][Rr])?[Dd]",
+    "api_key": "[BbKk][Ee](?:[YyNn]|[Aa][Rr][Ee][Rr])",
+    "ip_address": "[.:](?<=[0-9A-Fa-f][.:])[0-9A-Fa-f]",
+    "mac_address": "[:-](?<=[0-9A-Fa-f][:-])[0-9A-Fa-f]",
+    "account_number": "[0-9]{8}",
+}
+#: The same for a hit of any type; a digit stands for all that need one.
+NEEDED_BY_ANY = (
+    "[0-9@:BbKkWw-](?:(?<=[0-9@])|(?<=[A-Fa-f][:-])[A-Fa-f]|(?<=[PpSs][Ww])(?:[Oo][Rr])?[Dd]"
+    "|(?<=[Kk])[Ee][Yy]|(?<=[Tt][Oo][Kk])[Ee][Nn]|(?<=[Bb])[Ee][Aa][Rr][Ee][Rr])"
+)
 CHECK_FIELDS = ["description", "details", "content", "message", "user_input", "clipboard_content", "url", "command"]
 SECRET_FIELD_PARTS = ["password", "key", "token"]
 CONFIDENCE = 0.95
@@ -74,16 +92,21 @@ def redacted(pii_type: str, value: Column) -> Column:
 
 
 def detections(text: Column) -> Column:
-    """Array of (pii_type, original, redacted), in pattern order; overlapping hits all count."""
+    """Array of (pii_type, original, redacted), in pattern order; overlapping hits all count.
+
+    The patterns of a type run over the texts that hold what the type needs.
+    """
     def describe(kind: str):
         return lambda v: F.struct(F.lit(kind).alias("pii_type"), v.alias("original"), redacted(kind, v).alias("redacted"))
 
+    def where(needed: str, hits: list[Column]) -> Column:
+        return F.when(~text.rlike(needed), EMPTY()).otherwise(F.concat(*hits))
+
     found = []
     for pii_type, patterns in PATTERNS:
-        for pattern in patterns:
-            hits = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))
-            found.append(F.transform(hits, describe(pii_type)))
-    return F.concat(*found)
+        hits = [F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0)) for pattern in patterns]
+        found.append(where(NEEDED[pii_type], [F.transform(h, describe(pii_type)) for h in hits]))
+    return where(NEEDED_BY_ANY, found)
 
 
 def rewritten(text: Column, found: Column) -> Column:

@@ -48,6 +48,29 @@ def test_short_and_odd_values(spark):
     assert [(r["pii_type"], r["redacted"]) for r in rows] == [("email", "***@***"), ("phone", "***-***-4567")]
 
 
+def test_patterns_run_where_a_text_holds_what_they_need(spark):
+    """Every pattern finds what it finds alone, in texts that hold little else; calm texts run none of them."""
+    lines = [line for line, _ in LINES.values()] + [
+        "PassWord=x", "PASSWD: y", "pWd=z", "Api-KEY=" + "k" * 20, "ToKeN:" + "t" * 20, "BeaRer q", "a@b.co", "x@y.ZZ", "AA-BB-CC-DD-EE-FF", "aa:bb:cc:dd:ee:ff",
+        "a:b:c:d:e:f:a:b", "1.2.3.4", "12345678", "123456789", "1234 5678 1234 5678", "x+15551234567", "x(555) 1234567", "555.123.4567", "", "calm", "\u0130 \u212a \u017f \u0663\u0663\u0663", None,
+    ]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, message string")
+    shown = lambda kind: lambda v: F.concat_ws(" ", F.lit(kind), v)
+    alone = [(kind, F.regexp_extract_all("message", F.lit("(?i)" + p), F.lit(0))) for kind, ps in pii.PATTERNS for p in ps]
+    plain = df.select("i", F.concat(*[F.transform(hits, shown(kind)) for kind, hits in alone]).alias("f"))
+    found = df.select("i", F.transform(pii.detections(F.col("message")), lambda d: F.concat_ws(" ", d["pii_type"], d["original"])).alias("f"))
+    expected, got = dict(map(tuple, plain.collect())), dict(map(tuple, found.collect()))
+    assert got == expected and {f.split(" ")[0] for fs in expected.values() for f in fs or []} == set(pii.NEEDED) == {kind for kind, _ in pii.PATTERNS}
+
+
+def test_calm_texts_run_no_pattern(spark):
+    df = spark.createDataFrame([("Plain words of a wide key-less token book,é known word - was: here.",), ("only words",)], "message string")
+    assert [r[0] for r in df.select(F.col("message").rlike(pii.NEEDED["email"])).collect()] == [False, False]
+    assert not df.filter("message = 'only words'").select(F.col("message").rlike(pii.NEEDED_BY_ANY)).first()[0]
+    plan = df.select(pii.detections(F.col("message")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_extract_all") and plan.count("RLIKE") >= len(pii.PATTERNS)
+
+
 def test_field_selection():
     assert pii.is_checked_field("description") and pii.is_checked_field("Full_Description")
     assert pii.is_checked_field("userPassword") and pii.is_checked_field("api_key_value")
