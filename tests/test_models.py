@@ -1,4 +1,5 @@
 import random
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -297,3 +298,10 @@ def test_classes_fitted_side_by_side_have_the_trees_of_one_after_the_other(spark
         fitted = classifiers.fit_boosted(df, ["a", "b"], "y", rounds=3).models
         trees.append([binary.toDebugString.split("\n", 1)[1] for binary in fitted])
     assert asked == [1, 4] and trees[0] == trees[1] and len(trees[0]) == 3
+
+
+def test_fits_run_at_the_same_time(spark):
+    """Each fit waits for the others to have begun; the results come in the order asked for."""
+    begun = threading.Barrier(3, timeout=30)
+    fits = [lambda k=k: (begun.wait(), spark.range(k).count())[1] for k in (3, 1, 2)]
+    assert training.side_by_side(spark, *fits) == [3, 1, 2]
