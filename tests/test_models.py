@@ -3,6 +3,7 @@ import threading
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +306,21 @@ def test_fits_run_at_the_same_time(spark):
     begun = threading.Barrier(3, timeout=30)
     fits = [lambda k=k: (begun.wait(), spark.range(k).count())[1] for k in (3, 1, 2)]
     assert training.side_by_side(spark, *fits) == [3, 1, 2]
+
+
+def test_an_epoch_of_the_auto_encoder_is_one_stage_and_averages_by_rows(spark):
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(size=(n, 3)) for n in (40, 7)]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([[list(map(float, r)) for r in p] for p in parts], 2).flatMap(lambda p: p), "a double, b double, c double")
+    model, start = ae.AutoEncoder(["a", "b", "c"], ae._initial(3, 1)), ae._initial(3, 1)
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one epoch", "one epoch")
+    try:
+        model._epoch(rows, 0.01, 8)
+        jobs = stages.getJobIdsForGroup("one epoch")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(stages.getJobInfo(j).stageIds) for j in jobs] == [1]
+    local = [ae._local_epoch(iter([pd.DataFrame(p)]), start, 0.01, 8) for p in parts]
+    assert np.allclose(model.weights, sum(w * n for w, _, n in local) / 47, atol=1e-12)
+    assert model.history == [pytest.approx(sum(loss for _, loss, _ in local) / 47)]
