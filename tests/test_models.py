@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actilens.models import autoencoder as ae
-from actilens.models import classifiers, training
+from actilens.models import classifiers, isolation_forest, training
 from actilens.models.isolation_forest import IsolationForest, average_path
 from actilens.operators import features, metrics
 
@@ -324,3 +324,38 @@ def test_an_epoch_of_the_auto_encoder_is_one_stage_and_averages_by_rows(spark):
     local = [ae._local_epoch(iter([pd.DataFrame(p)]), start, 0.01, 8) for p in parts]
     assert np.allclose(model.weights, sum(w * n for w, _, n in local) / 47, atol=1e-12)
     assert model.history == [pytest.approx(sum(loss for _, loss, _ in local) / 47)]
+
+
+def _small_tree(features, n=200, seed=3):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(n, features)).round(1)
+    nodes = pd.DataFrame(isolation_forest._grow(points, rng, 8), columns=["feature", "threshold", "left", "right", "size", "depth", "value"])
+    nodes.insert(0, "node", np.arange(len(nodes)))
+    nodes.insert(0, "tree", 0)
+    return isolation_forest._pack(nodes)[0], points
+
+
+def test_outcomes_of_a_path_are_worked_out_once_and_not_for_each_row(monkeypatch):
+    tree, points = _small_tree(6)
+    asked, values = [], isolation_forest.LeafGroup.values
+    monkeypatch.setattr(isolation_forest.LeafGroup, "values", lambda self, outcome: asked.append(len(outcome)) or values(self, outcome))
+    found = {}
+    for n, tabled in ((200, 10), (3000, 10), (3000, 2), (3000, 0)):
+        monkeypatch.setattr(isolation_forest.LeafPaths, "TABLED", tabled)
+        paths, total = isolation_forest.LeafPaths(tree, 6), np.zeros((n, 6))
+        asked.clear()
+        paths.add_shapley(np.resize(points, (n, 6)), total)
+        found[n, tabled] = sum(asked), total
+    assert found[200, 10][0] == found[3000, 10][0] == sum(2**g.k for g in paths.groups) < found[3000, 0][0]
+    for total in (found[3000, 2][1], found[3000, 0][1]):
+        assert np.allclose(total, found[3000, 10][1], atol=1e-12)
+    assert np.allclose(found[3000, 10][1][:200], found[200, 10][1], atol=1e-12)
+
+
+def test_rows_without_a_finite_value_are_explained_by_the_leaf_they_reach():
+    tree, points = _small_tree(3)
+    x = points[:6].copy()
+    x[0, 0], x[1, 1], x[2, 2], x[3] = -np.inf, np.inf, np.nan, -np.inf
+    total = np.zeros((6, 3))
+    isolation_forest.LeafPaths(tree, 3).add_shapley(x, total)
+    assert total.sum(axis=1) == pytest.approx(tree["length"][isolation_forest._leaf(tree, x)] - tree["value"][0], abs=1e-9)
