@@ -359,3 +359,18 @@ def test_rows_without_a_finite_value_are_explained_by_the_leaf_they_reach():
     total = np.zeros((6, 3))
     isolation_forest.LeafPaths(tree, 3).add_shapley(x, total)
     assert total.sum(axis=1) == pytest.approx(tree["length"][isolation_forest._leaf(tree, x)] - tree["value"][0], abs=1e-9)
+
+
+def test_one_more_fit_runs_beside_those_of_train_all(training_logs, spark, tmp_path, monkeypatch):
+    """It waits for the boosting to have begun and the boosting for it, and it gives the model it gives afterwards."""
+    from actilens.plans import training_queries
+
+    begun, boost = threading.Barrier(2, timeout=60), classifiers.fit_boosted
+    forest = classifiers.fit_random_forest
+    monkeypatch.setattr(classifiers, "fit_boosted", lambda *a, **k: (begun.wait(), boost(*a, **k))[1])
+    monkeypatch.setattr(classifiers, "fit_random_forest", lambda *a: forest(*a, trees=4))
+    config = training.TrainConfig(iforest_trees=5, autoencoder_epochs=1, boost_rounds=1)
+    result = training.train_all(training_logs, str(tmp_path), config, AS_OF, lambda frame: (begun.wait(), training_queries._fit_attacks(frame))[1])
+    after = training_queries._fit_attacks(spark.read.parquet(f"{tmp_path}/frame"))
+    assert [t.toDebugString.split("\n", 1)[1] for t in result.beside.trees] == [t.toDebugString.split("\n", 1)[1] for t in after.trees]
+    assert len(after.trees) == 4 and result.reports.count() == 3
