@@ -374,3 +374,56 @@ def test_one_more_fit_runs_beside_those_of_train_all(training_logs, spark, tmp_p
     after = training_queries._fit_attacks(spark.read.parquet(f"{tmp_path}/frame"))
     assert [t.toDebugString.split("\n", 1)[1] for t in result.beside.trees] == [t.toDebugString.split("\n", 1)[1] for t in after.trees]
     assert len(after.trees) == 4 and result.reports.count() == 3
+
+
+def _mixed(spark, n=2500, parts=3):
+    """Rows with ties, constant and rare values, in some partitions."""
+    return spark.range(n).selectExpr(
+        "cast(id * 7919 % 101 as double) / 7 as a", "cast(id * 31 % 57 as double) as b", "cast(id * id % 13 as double) as c", "1.0d as same",
+        "cast(id % 40 = 3 as int) * 2 + cast((id * 7 % 101 + id * 3 % 57) > 90 as int) as y",
+    ).repartition(parts).localCheckpoint()
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_trees_of_one_task_are_those_of_the_library(spark, monkeypatch, parts):
+    from actilens.models import boosting
+
+    df, x = _mixed(spark, parts=parts), ["a", "b", "c", "same"]
+    fitted = []
+    for cells in (boosting.CELLS, 0):
+        monkeypatch.setattr(boosting, "CELLS", cells)
+        fitted.append(classifiers.fit_boosted(df, x, "y", rounds=8, column_sample=0.7))
+    here, library = ([[(t.numNodes, t.depth) for t in m.trees] for m in f.models] for f in fitted)
+    assert here == library and len(here) == 4 and max(d for m in here for _, d in m) == 6
+    assert [m.treeWeights for m in fitted[0].models] == [m.treeWeights for m in fitted[1].models]
+    cut = [[[line.split("<=")[0].split(">")[0] for line in m.toDebugString.splitlines()[1:] if "Predict" not in line] for m in f.models] for f in fitted]
+    assert cut[0] == cut[1]
+    scores = [classifiers.apply_boosted(f, df, x).select("xgb_probabilities").collect() for f in fitted]
+    assert np.allclose([r[0] for r in scores[0]], [r[0] for r in scores[1]], atol=1e-12)
+
+
+def test_jobs_of_the_boosting_do_not_grow_with_its_rounds(spark):
+    df, jobs = _mixed(spark, 300), []
+    for rounds in (2, 9):
+        spark.sparkContext.setJobGroup(f"{rounds} rounds", "boosting")
+        try:
+            assert [m.getNumTrees for m in classifiers.fit_boosted(df, ["a", "b", "c"], "y", rounds=rounds).models] == [rounds] * 4
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{rounds} rounds")))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] > 0 and abs(jobs[1] - jobs[0]) <= 4  # before, some 24 more for each round
+
+
+def test_random_numbers_and_powers_are_those_of_the_jvm(spark):
+    from actilens.models import boosting
+
+    jvm = spark._jvm
+    library = getattr(getattr(jvm.org.apache.spark.util.random, "XORShiftRandom$"), "MODULE$")
+    for seed in (0, 42, -5, 2**40 + 7):
+        assert boosting._hashed(seed) == library.hashSeed(seed) & 2**64 - 1
+        theirs, ours = jvm.java.util.Random(seed), boosting._JavaRandom(seed)
+        assert [ours.long() for _ in range(3)] == [theirs.nextLong() & 2**64 - 1 for _ in range(3)]
+    draws = jvm.org.apache.spark.util.random.XORShiftRandom(43)
+    assert list(np.unpackbits(boosting._draws(42, 2, 20, 0.9)[1], count=20)) == [draws.nextDouble() < 0.9 for _ in range(20)]
+    x = np.concatenate([np.linspace(-30, 30, 300), [0.0, 1e-12, 650.0]])
+    assert np.allclose(boosting._exp(x), np.exp(x), rtol=4e-16, atol=0) and boosting._exp(np.array([800.0, -800.0])).tolist() == [np.inf, 0.0]
