@@ -427,3 +427,15 @@ def test_random_numbers_and_powers_are_those_of_the_jvm(spark):
     assert list(np.unpackbits(boosting._draws(42, 2, 20, 0.9)[1], count=20)) == [draws.nextDouble() < 0.9 for _ in range(20)]
     x = np.concatenate([np.linspace(-30, 30, 300), [0.0, 1e-12, 650.0]])
     assert np.allclose(boosting._exp(x), np.exp(x), rtol=4e-16, atol=0) and boosting._exp(np.array([800.0, -800.0])).tolist() == [np.inf, 0.0]
+
+
+def test_rows_go_down_the_levels_to_the_leaf_of_the_walk(spark):
+    trees, x = [_small_tree(4, n, seed)[0] for n, seed in ((200, 3), (7, 4), (1, 5))], np.random.default_rng(6).normal(size=(300, 4)).round(1)
+    x[0, 0], x[1, 1], x[2], x[3] = np.nan, np.inf, -np.inf, np.nan
+    assert all(len(levels) <= 8 and len(found) == 2 ** len(levels) for levels, found in map(isolation_forest._levels, trees))
+    lengths = np.zeros(len(x))
+    isolation_forest._add_lengths([isolation_forest._levels(t) for t in trees], x, lengths)
+    plain = np.zeros(len(x))
+    for tree in trees:
+        plain += tree["length"][isolation_forest._leaf(tree, x)]
+    assert (lengths == plain).all() and len(set(lengths)) > 10
